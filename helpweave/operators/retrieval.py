@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from helpweave import lexicons as lx
 from helpweave.functions.intent import link_polarity
 from helpweave.functions.text import retrieval_tokens, tfidf_tokens
-from helpweave.session import broadcast_if_small, materialize
+from helpweave.session import broadcast_if_small, materialize, spread
 
 POSTINGS_PER_SALT = 2_000_000
 
@@ -62,6 +62,7 @@ def tfidf_idf(df, n):
 def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigrams: bool = False,
                 stop_words: str = lx.ENGLISH_STOP_WORDS) -> TextIndex:
     """Weighted inverted index of a corpus version; written once, read by every query job."""
+    docs = spread(docs)
     postings, freq = corpus_stats(docs, doc, text, bigrams, stop_words)
     postings = materialize(postings)
     freq = postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -34,6 +34,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores (a few small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """Broadcast hint only for a side whose counted size is below ``limit``; else leave the choice to Spark."""
     return F.broadcast(df) if rows <= limit else df
