@@ -9,7 +9,7 @@ from helpweave.checks import sqltext as q
 from helpweave.checks.registry import query, with_tables
 from helpweave.functions import intent
 from helpweave.operators import compound, similarity as sim
-from helpweave.session import table
+from helpweave.session import materialize, table
 from helpweave.sources import store as st
 from helpweave.sources.fixtures import derived
 
@@ -28,7 +28,7 @@ def probes(spark, sf):
 
 def store(spark, sf):
     rows = derived(spark, sf, "complaints").where("complaint_id % 10 = 0").select(F.col("complaint_id").alias("seq"), "query")
-    return st.make_store(rows)
+    return materialize(st.make_store(rows))
 
 
 def variants(spark, sf):

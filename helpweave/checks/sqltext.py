@@ -154,7 +154,7 @@ def embedding(x: str) -> str:
         f"[substr('_' || {norm} || '_', i, 3) for i in range(1, len({norm}) + 1)])"
     )
     dims = f"[{pos} for f in {feats} if f <> '']"
-    return f"[{{'c': len(list_filter({dims}, lambda q: q = d))::DOUBLE}}.c for d in range(0, 128)]"
+    return f"[[coalesce(h[d], 0)::DOUBLE for d in range(0, 128)] for h in [list_aggregate({dims}, 'histogram')]][1]"
 
 
 def contains_urls(x: str) -> str:
