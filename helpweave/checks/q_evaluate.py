@@ -72,7 +72,7 @@ def x7(spark, sf):
 
 
 # --- confidence -----------------------------------------------------------------------
-_CONF = "round(greatest(0, least(1, 0.4 * greatest(0, least(1, grounding_coverage)) + 0.3 * greatest(0, least(1, validator_pass_rate)) + 0.15 * greatest(0, least(1, retrieval_margin)) + 0.15 * path_alignment)), 2)"
+_CONF = "round(round(greatest(0, least(1, 0.4 * greatest(0, least(1, grounding_coverage)) + 0.3 * greatest(0, least(1, validator_pass_rate)) + 0.15 * greatest(0, least(1, retrieval_margin)) + 0.15 * path_alignment)), 9), 2)"
 
 
 def _scored(spark, sf):
@@ -101,14 +101,15 @@ _SCR = "(expected_id = predicted_id)"
     with_tables(
         f"""SELECT category, round(coalesce(avg(CASE WHEN expected_id IS NOT NULL THEN coalesce({_SCR}, false)::INT END), 0), 6) AS screen_accuracy,
   round(coalesce(avg(CASE WHEN expected_id IS NOT NULL THEN (NOT coalesce({_SCR}, false) AND expected_page <> predicted_page)::INT END), 0), 6) AS parent_menu_error_rate,
-  round(coalesce(avg(CASE WHEN category = 'manual' THEN (predicted_id IS NULL)::INT END), 1), 6) AS manual_compliance, count(*) AS n_scenarios
+  round(coalesce(avg(CASE WHEN category = 'manual' THEN (predicted_id IS NULL)::INT END), 1), 6) AS manual_compliance, count(*) AS n_scenarios,
+  round(avg(CASE WHEN expected_id IS NOT NULL AND category = 'auto' THEN CASE WHEN coalesce({_SCR}, false) THEN 2 WHEN expected_page <> predicted_page THEN 1 ELSE 0 END END), 6) AS relevance
 FROM eval_predictions GROUP BY category""",
         "eval_predictions",
     ),
 )
 def g8(spark, sf):
-    out = ev.eval_screens(derived(spark, sf, "eval_predictions"), ["category"]).drop("relevance")
-    return _r6(out, "screen_accuracy", "parent_menu_error_rate", "manual_compliance")
+    out = ev.eval_screens(derived(spark, sf, "eval_predictions"), ["category"])
+    return _r6(out, "relevance", "screen_accuracy", "parent_menu_error_rate", "manual_compliance")
 
 
 @query("g8b_failing_scenarios", with_tables(f"SELECT scenario_id FROM eval_predictions WHERE expected_id IS NOT NULL AND NOT coalesce({_SCR}, false)", "eval_predictions"))
@@ -127,7 +128,7 @@ def _accuracy_steps(spark, sf):
 @query(
     "g9_step_accuracy",
     with_tables(
-        f"""SELECT a.article_id AS plan_id, round(coalesce(list_avg([g for g in gs if g is not null]), 0), 6) AS grounding, round(CASE WHEN len(hs) = 0 THEN 1 ELSE (len({q.common('hs', 'ps')}) / len(hs) >= 0.5)::INT END, 6) AS completeness,
+        f"""SELECT a.article_id AS plan_id, round(coalesce(list_avg([g for g in gs if g is not null]), 0), 6) AS grounding, round(CASE WHEN len(hs) = 0 THEN 1 ELSE (len({q.common('hs', 'ps')}) / len(hs) >= 0.5)::INT END::DOUBLE, 6) AS completeness,
   CASE WHEN plan_id % 5 = 4 THEN 0.0 ELSE 1.0 END AS ordering
 FROM (SELECT article_id, {_as('content')} AS ar, {_as('title')} AS hs FROM articles) a
 JOIN (SELECT group_id AS plan_id, list({_as('step')}) AS ss, list_distinct(flatten(list({_as("step || ' Action'")}))) AS ps FROM step_groups GROUP BY group_id) p ON p.plan_id = a.article_id,

@@ -18,7 +18,7 @@ def confidence(grounding, validator, retrieval, path, weights: dict[str, float]
     parts = {"grounding": grounding, "validator": validator, "retrieval": retrieval, "path": path}
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     raw = sum((weights.get(k, lx.SCORE_WEIGHTS[k]) / total) * clamp(col(c)) for k, c in parts.items())
-    return F.round(clamp(raw), 2)
+    return F.round(F.round(clamp(raw), 9), 2)
 
 
 def calibration_error(scored: DataFrame, conf: str = "confidence", label: str = "label", bins: int = 10) -> DataFrame:
@@ -42,13 +42,13 @@ def eval_screens(predictions: DataFrame, by: list[str] | None = None) -> DataFra
     scored = F.col("expected_id").isNotNull()
     right = F.coalesce(F.col("expected_id") == F.col("predicted_id"), F.lit(False))
     wrong_level = F.coalesce(~right & (F.col("expected_page") != F.col("predicted_page")), F.lit(False))
-    relevance = F.when(right, 2.0).when(F.col("predicted_id").isNotNull() & F.coalesce(F.col("expected_page") == F.col("predicted_page"), F.lit(False)), 1.0).otherwise(0.0)
+    relevance = F.when(right, 2.0).when(wrong_level, 1.0).otherwise(0.0)
     manual = F.col("category") == "manual"
     return predictions.groupBy(*(by or [])).agg(
         F.coalesce(F.avg(F.when(scored, right.cast("double"))), F.lit(0.0)).alias("screen_accuracy"),
         F.coalesce(F.avg(F.when(scored, wrong_level.cast("double"))), F.lit(0.0)).alias("parent_menu_error_rate"),
         F.coalesce(F.avg(F.when(manual, F.col("predicted_id").isNull().cast("double"))), F.lit(1.0)).alias("manual_compliance"),
-        F.avg(F.when(scored, relevance)).alias("relevance"),
+        F.avg(F.when(scored & (F.col("category") == "auto"), relevance)).alias("relevance"),
         F.count("*").alias("n_scenarios"),
     )
 
