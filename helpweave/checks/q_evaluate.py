@@ -72,7 +72,7 @@ def x7(spark, sf):
 
 
 # --- confidence -----------------------------------------------------------------------
-_CONF = "round(round(greatest(0, least(1, 0.4 * greatest(0, least(1, grounding_coverage)) + 0.3 * greatest(0, least(1, validator_pass_rate)) + 0.15 * greatest(0, least(1, retrieval_margin)) + 0.15 * path_alignment)), 9), 2)"
+_CONF = "(round_even(100 * greatest(0, least(1, 0.4 * greatest(0, least(1, grounding_coverage)) + 0.3 * greatest(0, least(1, validator_pass_rate)) + 0.15 * greatest(0, least(1, retrieval_margin)) + 0.15 * path_alignment)), 0) / 100)"
 
 
 def _scored(spark, sf):

@@ -18,7 +18,8 @@ def confidence(grounding, validator, retrieval, path, weights: dict[str, float]
     parts = {"grounding": grounding, "validator": validator, "retrieval": retrieval, "path": path}
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     raw = sum((weights.get(k, lx.SCORE_WEIGHTS[k]) / total) * clamp(col(c)) for k, c in parts.items())
-    return F.round(F.round(clamp(raw), 9), 2)
+    # rint of the scaled value follows the binary value, where decimal half-up would not
+    return F.rint(clamp(raw) * 100) / 100
 
 
 def calibration_error(scored: DataFrame, conf: str = "confidence", label: str = "label", bins: int = 10) -> DataFrame:
