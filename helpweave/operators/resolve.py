@@ -186,7 +186,7 @@ def bind_links(groups: DataFrame, index: TextIndex, entries: DataFrame, threshol
     linkable = groups.where("coalesce(category, 'manual') <> 'manual'")
     lists = linkable.withColumn("steps_key", F.array_join("steps", "\u0001")).groupBy("steps_key").agg(
         F.first("steps").alias("steps")).withColumn("qid", F.md5("steps_key"))
-    screens = lists.select("steps_key", "qid").join(resolve_screens(lists.select("qid", "steps"), index, entries), "qid").drop("qid")
+    screens = lists.select("steps_key", "qid").join(resolve_screens(lists.select("qid", "steps"), index, entries), "qid").drop("qid", "score")
     df = groups.withColumn("steps_key", F.when(F.coalesce("category", F.lit("manual")) != "manual", F.array_join("steps", "\u0001")))
     known = [*ENTRY[1:], "message_stems", *[c for c in entries.columns if c.startswith("v_")]]
     df = df.join(screens, "steps_key", "left").join(entries.select("doc", *[F.col(c).alias("e_" + c) for c in known]), "doc", "left")
