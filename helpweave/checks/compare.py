@@ -30,6 +30,8 @@ def cell(v) -> str:
 def spark_session(cores: str = "8", memory: str = "8g"):
     from pyspark.sql import SparkSession
 
+    from helpweave.session import tune
+
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("helpweave")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", memory)
@@ -38,7 +40,7 @@ def spark_session(cores: str = "8", memory: str = "8g"):
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def main() -> None:

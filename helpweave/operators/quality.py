@@ -168,7 +168,8 @@ def repair_goal(goal) -> Column:
 
 
 def repair_title(title) -> Column:
-    return let(tx.fit_title(title), lambda t: F.when(title_ok(t), t).otherwise(tx.sentence_case(t)))
+    fitted = let(tx.fit_title(title), lambda t: F.when(title_ok(t), t).otherwise(tx.sentence_case(t)))
+    return F.when(title_ok(title), tx.squash(title)).otherwise(fitted)
 
 
 def repair_name(name) -> Column:

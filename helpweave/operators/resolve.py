@@ -207,7 +207,7 @@ def bind_links(groups: DataFrame, index: TextIndex, entries: DataFrame, threshol
     df = df.withColumn("status", status).withColumn("_p", placeholder_texts("steps", "action_name"))
     is_match, is_dummy = F.col("status") == "matched", F.col("status") == "dummy_positive"
     either = lambda a, b: F.when(is_match, a).when(is_dummy, b)
-    check = infer_validation("e_v_deeplink", "e_v_key", "e_v_result_type", "e_v_condition", "e_v_value", "e_originalType") if "e_v_deeplink" in df.columns else F.lit(None)
+    check = infer_validation("e_v_deeplink", "e_v_key", "e_v_result_type", "e_v_condition", "e_v_value", "e_originalType") if "e_v_deeplink" in df.columns else F.lit(None).cast("string")
     return df.select(
         *groups.columns, "status", F.col("e_id").alias("candidate_id"),
         either(F.col("e_deeplink"), F.lit(placeholder_uri)).alias("link"),

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from helpweave import lexicons as lx
 from helpweave.functions.intent import link_polarity
-from helpweave.functions.text import retrieval_tokens, tfidf_tokens
+from helpweave.functions.text import one_of, retrieval_tokens, tfidf_tokens, words_of
 from helpweave.session import broadcast_if_small, materialize, spread
 
 POSTINGS_PER_SALT = 2_000_000
@@ -31,23 +31,25 @@ class TextIndex:
     stop_words: str
 
 
-def _terms(text: str, bigrams: bool, stop_words: str):
-    return F.concat(
-        F.transform(retrieval_tokens(text), lambda t: F.concat(F.lit("b:"), t)),
-        F.transform(tfidf_tokens(text, bigrams, stop_words), lambda t: F.concat(F.lit("t:"), t)),
+def _exploded(df: DataFrame, text: str, bigrams: bool, stop_words: str) -> DataFrame:
+    """One row per token occurrence with the prefixed ``term``; other columns are kept."""
+    kinds = F.array(
+        F.struct(F.lit("b:").alias("kind"), retrieval_tokens(text).alias("toks")),
+        F.struct(F.lit("t:").alias("kind"), (tfidf_tokens(text, True, stop_words) if bigrams else words_of(text)).alias("toks")),
     )
+    keep = [c for c in df.columns if c != text]
+    split = df.withColumn("_k", kinds).select(*keep, F.explode_outer("_k").alias("_k"))
+    rows = split.select(*keep, F.col("_k.kind").alias("_kind"), F.explode_outer("_k.toks").alias("_tok")).where("_tok IS NOT NULL")
+    if not bigrams:
+        # outside the array functions the stop list is one compiled hash lookup
+        rows = rows.where((F.col("_kind") == "b:") | ~one_of(F.col("_tok"), stop_words))
+    return rows.select(*keep, F.concat("_kind", "_tok").alias("term"))
 
 
 def corpus_stats(docs: DataFrame, doc: str, text: str, bigrams: bool = False, stop_words: str = lx.ENGLISH_STOP_WORDS):
     """Postings (doc, dl, term, tf) and one row per term with its document frequency."""
-    postings = (
-        docs.select(F.col(doc).alias("doc"), F.size(retrieval_tokens(text)).alias("dl"),
-                    _terms(text, bigrams, stop_words).alias("terms"))
-        # a second projection, so that dl is computed once per document and not per term
-        .select("doc", "dl", F.explode_outer("terms").alias("term"))
-        .groupBy("doc", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
-        .where("term IS NOT NULL")
-    )
+    slim = docs.select(F.col(doc).alias("doc"), F.size(retrieval_tokens(text)).alias("dl"), F.col(text).alias("_text"))
+    postings = _exploded(slim, "_text", bigrams, stop_words).groupBy("doc", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
     return postings, postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -62,13 +64,11 @@ def tfidf_idf(df, n):
 def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigrams: bool = False,
                 stop_words: str = lx.ENGLISH_STOP_WORDS) -> TextIndex:
     """Weighted inverted index of a corpus version; written once, read by every query job."""
-    docs = spread(docs)
-    postings, freq = corpus_stats(docs, doc, text, bigrams, stop_words)
-    postings = materialize(postings)
-    freq = postings.groupBy("term").agg(F.count("*").alias("df"))
-    size = docs.select(F.size(retrieval_tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.sum("dl").alias("len")).first()
-    n, avgdl = size["n"], (size["len"] or 0) / max(size["n"], 1)
+    n = docs.count()
+    postings = materialize(corpus_stats(spread(docs), doc, text, bigrams, stop_words)[0])
     is_bm25 = F.col("term").startswith("b:")
+    avgdl = (postings.agg(F.sum(F.when(is_bm25, F.col("tf")))).first()[0] or 0.0) / max(n, 1)
+    freq = postings.groupBy("term").agg(F.count("*").alias("df"))
     freq = freq.withColumn("idf", F.when(is_bm25, bm25_idf(F.col("df"), n)).otherwise(tfidf_idf(F.col("df"), n)))
     freq = materialize(freq)
     seen = freq.agg(F.avg(F.when(is_bm25, F.col("idf"))).alias("mean_idf"), F.count("*").alias("terms")).first()
@@ -92,7 +92,7 @@ def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigram
 def query_terms(queries: DataFrame, index: TextIndex, qid: str = "qid", text: str = "text") -> DataFrame:
     """Weighted terms of each query; terms the corpus does not know drop out before the query norm."""
     counts = (
-        queries.select(F.col(qid).alias("qid"), F.explode_outer(_terms(text, index.bigrams, index.stop_words)).alias("term"))
+        _exploded(queries.select(F.col(qid).alias("qid"), F.col(text).alias("_text")), "_text", index.bigrams, index.stop_words)
         .groupBy("qid", "term").agg(F.count("*").cast("double").alias("m"))
     )
     known = counts.join(broadcast_if_small(index.terms, index.n_terms), "term")

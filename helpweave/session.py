@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,16 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Keep small but expanding shuffles parallel.
+
+    Term joins and text rules do much work per byte. The default lower bound of 1 MB per
+    partition would fold such a shuffle into a few tasks; large shuffles are not affected.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -27,11 +38,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder, so that several readers do not recompute it."""
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
+
+    Several readers then share one computation, lineage is cut, lost executors cost nothing,
+    and the planner sees the true size of the table.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark)}/helpweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
