@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from helpweave import lexicons as lx
 from helpweave.functions.intent import link_polarity
 from helpweave.functions.text import one_of, retrieval_tokens, tfidf_tokens, words_of
-from helpweave.session import broadcast_if_small, materialize, spread
+from helpweave.session import broadcast_if_small, fan_out, materialize, spread
 
 POSTINGS_PER_SALT = 2_000_000
 
@@ -104,7 +104,7 @@ def query_terms(queries: DataFrame, index: TextIndex, qid: str = "qid", text: st
 
 def score_terms(terms: DataFrame, index: TextIndex, *carry: str) -> DataFrame:
     """Sum of products per (query, document) over shared terms: columns ``bm25`` and ``cosine``."""
-    salted = terms.select("qid", "term", "qw", *carry, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = fan_out(terms, "qid").select("qid", "term", "qw", *carry, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     product = F.col("qw") * F.col("w")
     is_bm25 = F.col("term").startswith("b:")
     return (

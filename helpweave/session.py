@@ -55,6 +55,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition the small input of an expanding join at full width.
+
+    Such an input is a few kilobytes, so it would otherwise be folded into one task that then
+    makes all the pairs.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """Broadcast hint only for a side whose counted size is below ``limit``; else leave the choice to Spark."""
     return F.broadcast(df) if rows <= limit else df
