@@ -306,3 +306,16 @@ def x10(spark, sf):
     p = probes(spark, sf)
     plans = p.select("complaint_id", "query", F.lit(0).alias("goal_pos"), F.col("complaint_id").alias("seq"))
     return write_back_rows(plans).groupBy("query_hash").agg(F.min("seq").alias("seq"))
+
+
+@query(
+    "u1_custom_vectors",
+    """SELECT qid, arg_max(seq, (sim, -seq)) AS seq, round(max(sim), 5) AS similarity FROM (SELECT a.vec_id AS qid, b.vec_id AS seq, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim
+  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0) t WHERE sim >= 0.3 GROUP BY qid""",
+)
+def u1(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("block"), F.col("embedding").cast("array<double>").alias("vec"))
+    p = e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "qid")
+    s = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "seq")
+    best = sim.best_in_block(p, s, 0.3, rows=64)
+    return best.withColumn("similarity", F.round("similarity", 5))

@@ -216,3 +216,17 @@ def t6(spark, sf):
     s = jobs.last_state(spark, out, ["user_id", "w"])
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return s.select("user_id", fmt("first_ts"), fmt("last_ts"), "n", F.array_join("domains", ",").alias("domains"))
+
+
+@query(
+    "a8_write_results",
+    with_tables("SELECT plan_id, title, count(DISTINCT action_pos) AS actions FROM plans GROUP BY plan_id, title", "plans"),
+)
+def a8(spark, sf):
+    from helpweave.checks.q_quality import plan_steps
+    from helpweave.operators.layout import assemble_plans
+
+    folder = scratch(spark, "results")
+    rd.write_results(assemble_plans(plan_steps(spark, sf)), folder)
+    back = spark.read.schema(f"plan_id long, goal {schemas.GOAL.replace('actionableDeeplink:' + schemas.LINK, 'actionableDeeplink:string').replace('validationDeeplink:' + schemas.CHECK, 'validationDeeplink:string')}").json(folder)
+    return back.select("plan_id", "goal.title", F.size("goal.actions").alias("actions"))

@@ -229,3 +229,13 @@ def e14(spark, sf):
     crumb = F.when(F.col("group_id") % 6 != 0, F.col("page"))
     has = F.lower("description").contains(F.lower("page")) | F.lower("message").contains(F.lower("page"))
     return g.select("group_id", "id", rs.path_alignment(crumb, has).alias("path_value"))
+
+
+@query("w6_breadcrumb", with_tables("SELECT (SELECT min(group_id) FROM grp WHERE grp.text = s.text) AS qid, crumb AS breadcrumb FROM screens s", "catalog", "step_groups", extra=_SCREEN))
+def w6(spark, sf):
+    return _screens(spark, sf)[0].select("qid", "breadcrumb")
+
+
+@query("e11_critical_links", with_tables("SELECT group_id // 4 AS plan_id, group_id % 4 AS action_pos, status FROM bound WHERE category = 'critical'", "catalog", "step_groups", extra=_BIND))
+def e11(spark, sf):
+    return _bound(spark, sf).where("category = 'critical'").select("plan_id", "action_pos", "status")

@@ -11,12 +11,12 @@ from helpweave.functions.text import normalize_query, query_hash, with_embedding
 KEEP_OLD = ["vec", *intent.SIGNATURE_FIELDS]
 
 
-def make_store(rows: DataFrame, text: str = "query") -> DataFrame:
+def make_store(rows: DataFrame, text: str = "query", embed=None) -> DataFrame:
     """Store rows from ``seq, query``: one per normalised query, the lowest ``seq`` wins."""
     keyed = rows.withColumn("normalized", normalize_query(text)).groupBy("normalized").agg(F.min(F.struct("seq", F.col(text).alias("query"))).alias("r"))
     out = keyed.select("r.seq", "r.query", "normalized").withColumn("query_hash", query_hash("normalized"))
     out = intent.with_signature(out, "query").withColumn("has_signature", F.lit(True))
-    return with_embedding(out, "query")
+    return out.withColumn("vec", embed(F.col("query"))) if embed else with_embedding(out, "query")
 
 
 def upsert_plans(store: DataFrame, updates: DataFrame) -> DataFrame:

@@ -205,3 +205,12 @@ def test_critical_actions_are_not_repeated(spark):
     rows = [(1, 0, 0, "Adjust", "auto"), (1, 0, 1, "Restart Device", "critical"), (1, 1, 0, "Saver", "auto"), (1, 1, 1, " restart device", "critical")]
     df = spark.createDataFrame(rows, "complaint_id long, goal_pos int, action_pos int, action_name string, category string")
     assert sorted((r["goal_pos"], r["action_pos"]) for r in compound.dedupe_critical(df).collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_custom_embedding(spark):
+    flag = lambda w: (lambda c: F.array(F.lower(c).contains(w).cast("double"), (~F.lower(c).contains(w)).cast("double")))
+    embed = flag("battery")
+    store = materialize(st.make_store(spark.createDataFrame([(0, "Battery draining"), (1, "Camera blurry")], "seq long, query string"), embed=embed))
+    c = spark.createDataFrame([(5, "battery is empty"), (6, "photo looks odd")], "complaint_id long, query string")
+    got = {r["complaint_id"]: r["seq"] for r in sim.match_semantic(c, store, gated=False, embed=embed).collect()}
+    assert got == {5: 0, 6: 1}
