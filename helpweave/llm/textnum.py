@@ -85,11 +85,11 @@ def chunks(column: pa.Array, limit: int = CHUNK):
 class Words:
     """Words of a chunk: byte spans, hashes and the word bounds of every document."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, blank: np.ndarray = SPACE):
         if lower:
             data = LOWER[data]
         n = len(data)
-        inside = ~SPACE[data]
+        inside = ~blank[data]
         first, last = inside.copy(), inside.copy()
         if n:
             first[1:] &= ~inside[:-1]
