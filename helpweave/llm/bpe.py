@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helpweave.llm.textnum import lists
+from helpweave.session import materialize
 
 #: Pre-tokens of the vocabulary's byte-level scheme (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -23,7 +24,7 @@ LEXICON, LONGEST = 50_000, 48
 #: Characters of text that one lexicon walk handles at a time.
 STEP = 1 << 19
 #: Merged words that a task remembers.
-MEMO = 100_000
+MEMO = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,6 +52,62 @@ class Vocabulary:
         self.bytes = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+        self.first = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        pair = np.array([(self.ids[a] << 32) | self.ids[b] for a, b in self.ranks], np.int64)
+        order = np.argsort(pair)
+        self.pair, self.pair_rank = pair[order], np.array([*self.ranks.values()], np.int64)[order]
+        self.made = np.zeros(max([-1, *self.ranks.values()]) + 2, np.int64)
+        for (a, b), n in self.ranks.items():
+            self.made[n] = self.ids[a + b]
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair of ids, ``len(made)`` where there is none (or an id is -1)."""
+        if not len(self.pair):
+            return np.full(left.shape, len(self.made))
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.pair_rank[at], len(self.made))
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words`` one after the other, and how many each has; one merge of every word a round."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        out: list = [None] * len(words)
+        for i in np.flatnonzero((size > LONGEST) | (size < 2)).tolist():
+            out[i] = np.array(self.merge(words[i]), np.int32)
+        order = np.flatnonzero((size <= LONGEST) & (size >= 2))
+        order = order[np.argsort(size[order], kind="stable")]
+        for group in np.array_split(order, max(1, len(order) // 2000)):
+            if not len(group):
+                continue
+            width = int(size[group].max())
+            text = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in group), np.uint8).reshape(len(group), width)
+            ids = np.where(np.arange(width) < size[group][:, None], self.first[text], -1)
+            left = size[group].copy()
+            rank = self.rank_of(ids[:, :-1], ids[:, 1:])
+            live = np.arange(len(group))
+            while True:
+                at = rank[live].argmin(axis=1)
+                low = rank[live, at]
+                go = low < len(self.made)
+                live, at, low = live[go], at[go], low[go]
+                if not len(live):
+                    break
+                take = np.arange(width)[None, :] + (np.arange(width)[None, :] > at[:, None])
+                mine = np.take_along_axis(np.c_[ids[live], np.full(len(live), -1)], take, 1)
+                rows = np.arange(len(live))
+                mine[rows, at] = self.made[low]
+                near = np.take_along_axis(np.c_[rank[live], np.full(len(live), len(self.made))], take[:, :-1], 1)
+                near[rows, np.minimum(at, width - 2)] = self.rank_of(mine[rows, np.minimum(at, width - 2)], mine[rows, np.minimum(at, width - 2) + 1])
+                before = np.maximum(at - 1, 0)
+                near[rows, before] = self.rank_of(mine[rows, before], mine[rows, before + 1])
+                ids[live], rank[live] = mine, near
+                left[live] -= 1
+            flat = ids[ids >= 0].astype(np.int32)
+            for i, part in zip(group.tolist(), np.split(flat, np.cumsum(left)[:-1])):
+                out[i] = part
+        count = np.fromiter(map(len, out), np.int64, len(out))
+        return (np.concatenate(out) if out else np.zeros(0, np.int32)), count
+
     def merge(self, word: bytes) -> list[int]:
         """Apply the lowest-ranked merge, leftmost first, until none fits."""
         parts = [word[i : i + 1] for i in range(len(word))]
@@ -142,7 +199,7 @@ def compile_lexicon(words: list[bytes]) -> bytes:
 class Lexicon:
     """The automaton, read through a memory map of an unlinked file, so that pages can be dropped and reread."""
 
-    def __init__(self, image: bytes, ids: list[list[int]]):
+    def __init__(self, image: bytes, ids: np.ndarray, counts: np.ndarray):
         self.file = tempfile.TemporaryFile()
         self.file.write(image)
         self.file.flush()
@@ -151,7 +208,7 @@ class Lexicon:
         self.classes, view = view[3:259], view[259:]
         self.final, view = view[:n], view[n:]
         self.step, self.add = view[: n * self.width], view[n * self.width : 2 * n * self.width]
-        self.dead, self.ids = n - 1, ids
+        self.dead, self.ids, self.counts = n - 1, ids, counts
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Output number of each word, -1 for words outside; all words walk at once, one byte a step."""
@@ -219,11 +276,26 @@ def count_words(texts: DataFrame, tokenizer: str, column: str = "text") -> DataF
     return texts.select(column).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(counts: DataFrame, tokenizer: str, limit: int = LEXICON) -> tuple[bytes, list[list[int]]]:
-    """Automaton image and token ids of the ``limit`` most frequent words (ties by word)."""
-    words = sorted(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect())
-    vocabulary = Vocabulary(tokenizer)
-    return compile_lexicon(words), [vocabulary.merge(w) for w in words]
+def frequent(counts: DataFrame, limit: int, word: str = "word") -> DataFrame:
+    """The words of the highest count classes that hold at most ``limit`` words together.
+
+    Classes are eighths of a doubling of the count ``n``, so the choice needs a histogram of a few hundred rows only and no task sends
+    more than its share of the chosen words.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
+    room, cut = limit, None
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        if r["words"] > room:
+            break
+        room, cut = room - r["words"], r["level"]
+    return counts.where(F.lit(False) if cut is None else level >= cut)
+
+
+def build_lexicon(counts: DataFrame, tokenizer: str, limit: int = LEXICON) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Automaton image, and the token ids of the (at most ``limit``) most frequent words with their numbers."""
+    words = sorted(bytes(r["word"]) for r in frequent(counts, limit).select("word").collect())
+    return compile_lexicon(words), *Vocabulary(tokenizer).merge_all(words)
 
 
 def encode(texts: DataFrame, tokenizer: str, column: str = "text", into: str = "ids", limit: int = LEXICON) -> DataFrame:
@@ -236,32 +308,36 @@ def encode(texts: DataFrame, tokenizer: str, column: str = "text", into: str = "
     The word counts cover all texts; the lexicon made of them is bounded by ``limit`` words of
     ``LONGEST`` bytes whatever the input, and is broadcast. A word outside it is merged exactly.
     """
-    image, ids = build_lexicon(count_words(texts, tokenizer, column), tokenizer, limit)
-    shared = texts.sparkSession.sparkContext.broadcast((image, ids))
+    counts = materialize(count_words(texts, tokenizer, column).where("n > 1"))
+    shared = texts.sparkSession.sparkContext.broadcast(build_lexicon(counts, tokenizer, limit))
     rest = [f for f in texts.schema.fields if f.name != column]
     given = texts.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{column}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, vocabulary = regex.compile(PATTERN), Vocabulary(tokenizer)
         lexicon = Lexicon(*shared.value)
-        known = [np.array(x, np.int32) for x in lexicon.ids]
-        memo: dict[str, np.ndarray] = {}
+        base, start = lexicon.ids, np.r_[0, np.cumsum(lexicon.counts)]
+        flat, at, memo = base, start, {}
 
-        def ids_of(words: list[str]) -> dict[str, np.ndarray]:
-            new = [w for w in set(words) if w not in memo]
-            plain = [w.encode() for w in new if not isinstance(w, _Special)]
-            found = iter(lexicon.find(plain).tolist())
+        def places(words: list[str]) -> np.ndarray:
+            """Row of each word in the id table; new words are looked up, or merged and added."""
+            nonlocal flat, at
             if len(memo) > MEMO:
                 memo.clear()
-                return ids_of(words)
-            done = iter(plain)
-            for w in new:
-                if isinstance(w, _Special):
-                    memo[w] = np.array([vocabulary.special[str(w)]], np.int32)
-                else:
-                    raw, at = next(done), next(found)
-                    memo[w] = known[at] if at >= 0 else np.array(vocabulary.merge(raw), np.int32)
-            return memo
+                flat, at = base, start
+            new = [w for w in set(words) if w not in memo]
+            plain = [w for w in new if not isinstance(w, _Special)]
+            raw = [w.encode() for w in plain]
+            found = lexicon.find(raw)
+            memo.update(zip(plain, found.tolist()))
+            lost = np.flatnonzero(found < 0).tolist()
+            ids, count = vocabulary.merge_all([raw[i] for i in lost])
+            own = [w for w in new if isinstance(w, _Special)]
+            memo.update(zip([plain[i] for i in lost] + own, range(len(at) - 1, len(at) - 1 + len(lost) + len(own))))
+            count = np.r_[count, np.ones(len(own), np.int64)]
+            flat = np.r_[flat, ids, np.array([vocabulary.special[str(w)] for w in own], np.int32)]
+            at = np.r_[at, at[-1] + np.cumsum(count)]
+            return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
         for b in batches:
             column_at, n = b.num_columns - 1, b.num_rows
@@ -272,10 +348,12 @@ def encode(texts: DataFrame, tokenizer: str, column: str = "text", into: str = "
                     size += len(texts_[j])
                     j += 1
                 words = [_words(t, vocabulary, pattern) for t in texts_[i:j]]
-                flat = [w for ws in words for w in ws]
-                table = ids_of(flat)
-                runs = [np.concatenate([table[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in words]
-                made = lists(np.concatenate(runs) if runs else np.zeros(0, np.int32), np.array([len(r) for r in runs], np.int64), pa.int32())
+                row = places([w for ws in words for w in ws])
+                size = at[row + 1] - at[row]
+                stop = np.r_[0, np.cumsum(size)]
+                ids = flat[np.arange(stop[-1]) + np.repeat(at[row] - stop[:-1], size)]
+                ends = stop[np.cumsum([0, *map(len, words)])]
+                made = lists(ids.astype(np.int32), np.diff(ends), pa.int32())
                 names = [*b.schema.names[:-1], into]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(column_at)), made], names=names)
                 i = j
@@ -320,7 +398,8 @@ def decode(encoded: DataFrame, tokenizer: str, column: str = "ids", into: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, at = token_table(tokenizer)
-        decimal = [str(i) for i in range(len(at) - 1)]
+        digits = [b"%d," % i for i in range(len(at) - 1)]
+        decimal, decimal_at = np.frombuffer(b"".join(digits), np.uint8), np.cumsum([0, *map(len, digits)])
         for b in batches:
             last = b.num_columns - 1
             for i in range(0, b.num_rows, 64):
@@ -329,10 +408,9 @@ def decode(encoded: DataFrame, tokenizer: str, column: str = "ids", into: str =
                 texts = [x.decode("utf-8", "replace") for x in decode_batch(ids, bounds, table, at)]
                 keep = [part.column(k) for k in range(last)]
                 if digests:
-                    words = [decimal[x] for x in ids.tolist()]
                     made = [
                         pa.array(np.diff(bounds)),
-                        pa.array([hashlib.sha256(",".join(words[x:y]).encode()).hexdigest() for x, y in zip(bounds[:-1], bounds[1:])], pa.string()),
+                        pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in decode_batch(ids, bounds, decimal, decimal_at)], pa.string()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
                     ]
                     names = [*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
