@@ -73,6 +73,9 @@ class Template:
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, first word and hash of the windows of ``width`` words that are literal enough."""
         h, whole = code_windows(self.code, self.bounds, width)
+        if not len(h):
+            none = np.zeros(0, np.int64)
+            return none, none, h
         literal = np.zeros(len(self.code) + 1, np.int64)
         np.cumsum(self.kind == LITERAL_WORD, out=literal[1:])
         at = np.flatnonzero(whole & (literal[width:] - literal[: len(literal) - width] >= LITERAL * width)[: len(h)])
