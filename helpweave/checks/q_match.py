@@ -15,19 +15,21 @@ from helpweave.sources.fixtures import derived
 
 VARIANT_SQL = "SELECT seq AS plan_id, seq * 2 AS seq, query AS text FROM store UNION ALL SELECT seq, seq * 2 + 1, 'My ' || lower(query) FROM store"
 
-BASE = f"""texts AS MATERIALIZED (SELECT DISTINCT query FROM complaints),
+# Every complaint is stored, and every one is asked again: a third as it was, the others with more words.
+BASE = f"""probes AS MATERIALIZED (SELECT complaint_id, user_id, CASE WHEN complaint_id % 3 = 0 THEN query ELSE query || ' again please' END AS query FROM complaints),
+texts AS MATERIALIZED (SELECT query FROM complaints UNION SELECT query FROM probes),
 sig AS MATERIALIZED (SELECT query, {q.normalize('query')} AS normalized, {q.signature('query')}, {q.command('query')} AS command, {q.embedding('query')} AS vec FROM texts),
 store AS MATERIALIZED (SELECT seq, sig.* FROM (SELECT min(complaint_id) AS seq, arg_min(query, complaint_id) AS query
-   FROM complaints JOIN sig USING (query) WHERE complaint_id % 10 = 0 GROUP BY normalized) s JOIN sig USING (query)),
-probes AS MATERIALIZED (SELECT complaint_id, user_id, query FROM complaints WHERE complaint_id % 10 <> 0)"""
+   FROM complaints JOIN sig USING (query) GROUP BY normalized) s JOIN sig USING (query))"""
 
 
 def probes(spark, sf):
-    return derived(spark, sf, "complaints").where("complaint_id % 10 <> 0")
+    again = F.when(F.col("complaint_id") % 3 == 0, F.col("query")).otherwise(F.concat("query", F.lit(" again please")))
+    return derived(spark, sf, "complaints").withColumn("query", again)
 
 
 def store(spark, sf):
-    rows = derived(spark, sf, "complaints").where("complaint_id % 10 = 0").select(F.col("complaint_id").alias("seq"), "query")
+    rows = derived(spark, sf, "complaints").select(F.col("complaint_id").alias("seq"), "query")
     return materialize(st.make_store(rows))
 
 
@@ -72,7 +74,7 @@ def j2(spark, sf):
 )
 def j3(spark, sf):
     # Small tiles, so that this check also goes through cut blocks.
-    return _r6(sim.match_semantic(probes(spark, sf).select("complaint_id", "query"), store(spark, sf), rows=40), "similarity")
+    return _r6(sim.match_semantic(probes(spark, sf).select("complaint_id", "query"), store(spark, sf), rows=200), "similarity")
 
 
 _LEX = f"""variants AS ({VARIANT_SQL}),
@@ -91,14 +93,15 @@ def g2(spark, sf):
 
 @query(
     "j7_sparse_cosine_join",
-    with_tables("SELECT s.seq, v.seq AS variant_seq, round(c, 6) AS cosine FROM lexcos JOIN store s ON s.query = ta JOIN variants v ON v.text = tb", "complaints", extra=BASE + ", " + _LEX),
+    with_tables("SELECT s.seq, count(*) AS variants, round(max(c), 6) AS best FROM lexcos JOIN store s ON s.query = ta JOIN variants v ON v.text = tb GROUP BY s.seq", "complaints", extra=BASE + ", " + _LEX),
 )
 def j7(spark, sf):
     v = variants(spark, sf)
     idf, _ = sim.plan_idf(v)
     a = sim.lexical_weights(store(spark, sf).select("seq", F.col("query").alias("text")), "seq", idf)
     b = sim.lexical_weights(v.select(F.col("seq").alias("variant_seq"), "text"), "variant_seq", idf)
-    return _r6(sim.sparse_cosine_join(a, b, "seq", "variant_seq"), "cosine")
+    pairs = sim.sparse_cosine_join(a, b, "seq", "variant_seq")
+    return _r6(pairs.groupBy("seq").agg(F.count("*").alias("variants"), F.max("cosine").alias("best")), "best")
 
 
 _BLEND = "round(0.5 * list_cosine_similarity(a.vec, b.vec) + 0.5 * coalesce(l.c, 0), 9)"
@@ -110,17 +113,17 @@ _BLEND = "round(0.5 * list_cosine_similarity(a.vec, b.vec) + 0.5 * coalesce(l.c,
         f"""SELECT p.complaint_id, n.seq, round(n.sim, 6) AS similarity FROM probes p JOIN (
   SELECT fp, query, arg_max(seq, (sim, -seq)) AS seq, max(sim) AS sim FROM (
     SELECT x.fp, a.query, y.seq, {_BLEND} AS sim FROM (SELECT DISTINCT user_id % 5 AS fp, query FROM probes) x JOIN sig a USING (query)
-    JOIN (SELECT user_id % 5 AS fp, query, min(complaint_id) AS seq FROM complaints WHERE complaint_id % 10 = 0 GROUP BY user_id % 5, query) y ON x.fp = y.fp
+    JOIN (SELECT user_id % 5 AS fp, query, min(complaint_id) AS seq FROM complaints GROUP BY user_id % 5, query) y ON x.fp = y.fp
     JOIN sig b ON b.query = y.query LEFT JOIN lexcos l ON l.ta = a.query AND l.tb = b.query
     WHERE coalesce(a.command = b.command, true)) z WHERE sim >= {lx.ARTICLE_MIN_SIMILARITY} GROUP BY fp, query) n ON n.fp = p.user_id % 5 AND n.query = p.query""",
         "complaints", extra=BASE + ", " + _LEX,
     ),
 )
 def j4(spark, sf):
-    c = derived(spark, sf, "complaints").withColumn("fingerprint", F.concat(F.lit("a"), F.col("user_id") % 5))
-    arts = c.where("complaint_id % 10 = 0").groupBy("fingerprint", "query").agg(F.min("complaint_id").alias("seq"))
+    mark = lambda df: df.withColumn("fingerprint", F.concat(F.lit("a"), F.col("user_id") % 5))
+    arts = mark(derived(spark, sf, "complaints")).groupBy("fingerprint", "query").agg(F.min("complaint_id").alias("seq"))
     idf, _ = sim.plan_idf(variants(spark, sf))
-    return _r6(sim.match_by_article(c.where("complaint_id % 10 <> 0"), arts, idf, rows=30), "similarity")
+    return _r6(sim.match_by_article(mark(probes(spark, sf)), arts, idf, rows=200), "similarity")
 
 
 _VOCAB = f"""vocab AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT unnest({q.lexical('message')}) AS w FROM (SELECT DISTINCT message FROM catalog UNION ALL SELECT 'View camera mode') m) t
@@ -141,7 +144,7 @@ def vocabulary(spark, sf):
 @query(
     "e4_setting_conflict",
     with_tables(
-        f"SELECT a.seq AS a, b.seq AS b, {_CONFLICT} AS conflict FROM store a JOIN store b ON a.domain = b.domain LEFT JOIN feat fa ON fa.text = a.query LEFT JOIN feat fb ON fb.text = b.query",
+        f"SELECT a.seq AS a, count(*) AS compared, sum(CAST({_CONFLICT} AS INT)) AS conflicts FROM store a JOIN store b ON a.domain = b.domain LEFT JOIN feat fa ON fa.text = a.query LEFT JOIN feat fb ON fb.text = b.query GROUP BY a.seq",
         "complaints", "catalog", extra=BASE + ", " + _LEX + ", " + _VOCAB,
     ),
 )
@@ -153,7 +156,8 @@ def e4(spark, sf):
     feats = terms.join(vocabulary(spark, sf).withColumn("f", F.lit(1)), "term", "left").groupBy("seq", "domain").agg(
         F.collect_set(F.when(F.col("f") == 1, F.col("term"))).alias("fs"))
     b = feats.select(F.col("seq").alias("b"), "domain", F.col("fs").alias("fb"))
-    return feats.join(b, "domain").select(F.col("seq").alias("a"), "b", sim.setting_conflict(F.col("fs"), F.col("fb")).alias("conflict"))
+    pairs = feats.join(b, "domain").select(F.col("seq").alias("a"), sim.setting_conflict(F.col("fs"), F.col("fb")).alias("conflict"))
+    return pairs.groupBy("a").agg(F.count("*").alias("compared"), F.sum(F.col("conflict").cast("int")).alias("conflicts"))
 
 
 @query(
@@ -186,7 +190,7 @@ merged AS MATERIALIZED (SELECT query, island AS clause_pos, string_agg(clause, '
 
 @query("x1_decompose", with_tables("SELECT * FROM merged", "complaints", extra=BASE + ", " + _DECOMP))
 def x1(spark, sf):
-    return compound.decompose(derived(spark, sf, "complaints"))
+    return compound.decompose(derived(spark, sf, "complaints").select("query").unionByName(probes(spark, sf).select("query")))
 
 
 _COMPOUND = f"""{BASE}, {_DECOMP},
@@ -242,13 +246,13 @@ def _stamped(df, ts):
 
 
 def _updates(spark, sf):
-    rows = derived(spark, sf, "complaints").where("complaint_id % 15 = 0").select(F.col("complaint_id").alias("seq"), "query")
+    rows = probes(spark, sf).select(F.col("complaint_id").alias("seq"), "query")
     new = _stamped(st.make_store(rows), "2024-03-01 00:00:00").withColumn("payload", F.concat(F.lit("new "), F.col("seq")))
     lost = F.col("seq") % 2 == 0
     return new.withColumns({c: F.when(~lost, F.col(c)) for c in ("vec", "domain", "component", "symptom", "polarity", "trigger")})
 
 
-_UPSERT = f"""{BASE}, upd AS (SELECT seq, sig.* FROM (SELECT min(complaint_id) AS seq, arg_min(query, complaint_id) AS query FROM complaints JOIN sig USING (query) WHERE complaint_id % 15 = 0 GROUP BY normalized) s JOIN sig USING (query)),
+_UPSERT = f"""{BASE}, upd AS (SELECT seq, sig.* FROM (SELECT min(complaint_id) AS seq, arg_min(query, complaint_id) AS query FROM probes JOIN sig USING (query) GROUP BY normalized) s JOIN sig USING (query)),
 ver AS MATERIALIZED (SELECT sha256(coalesce(s.normalized, u.normalized)) AS query_hash, coalesce(s.seq, u.seq) AS seq, coalesce(s.query, u.query) AS query,
   CASE WHEN u.seq IS NOT NULL THEN 'new ' || u.seq ELSE 'plan ' || s.seq END AS payload,
   CASE WHEN u.seq % 2 <> 0 THEN u.domain ELSE s.domain END AS domain,
@@ -310,12 +314,12 @@ def x10(spark, sf):
 
 @query(
     "u1_custom_vectors",
-    """SELECT qid, arg_max(seq, (sim, -seq)) AS seq, round(max(sim), 5) AS similarity FROM (SELECT a.vec_id AS qid, b.vec_id AS seq, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim
-  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0) t WHERE sim >= 0.3 GROUP BY qid""",
+    """SELECT qid, arg_max(seq, (sim, -seq)) AS seq, round(max(sim), 5) AS similarity FROM (SELECT a.vec_id AS qid, b.vec_id AS seq, round(list_dot_product(list_reverse(a.embedding::DOUBLE[]), b.embedding::DOUBLE[]), 9) AS sim
+  FROM embeddings a JOIN embeddings b ON a.label = b.label) t WHERE sim >= 0.3 GROUP BY qid""",
 )
 def u1(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("block"), F.col("embedding").cast("array<double>").alias("vec"))
-    p = e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "qid")
-    s = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "seq")
+    p = e.withColumn("vec", F.reverse("vec")).withColumnRenamed("vec_id", "qid")
+    s = e.withColumnRenamed("vec_id", "seq")
     best = sim.best_in_block(p, s, 0.3, rows=64)
     return best.withColumn("similarity", F.round("similarity", 5))

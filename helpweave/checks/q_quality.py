@@ -102,7 +102,7 @@ report AS MATERIALIZED (
  UNION ALL SELECT plan_id, 'action_ordering', 'error', action_pos, NULL FROM ord
  UNION ALL SELECT plan_id, 'step_url', 'error', action_pos, step_pos FROM steps WHERE {q.contains_urls('step')}
  UNION ALL SELECT plan_id, 'step_verb', 'warning', action_pos, step_pos FROM steps WHERE NOT {q.contains_urls('step')} AND NOT list_contains({_VERBS}, lower({_cl(f'({q.words(chr(115)+chr(116)+chr(101)+chr(112))})[1]')}))
- UNION ALL SELECT plan_id, 'check_link_url', 'error', action_pos, step_pos FROM steps WHERE check_link IS NOT NULL)"""
+ UNION ALL SELECT plan_id, 'check_link_url', 'error', action_pos, NULL FROM (SELECT DISTINCT plan_id, action_pos, group_pos FROM steps WHERE check_link IS NOT NULL) c)"""
 
 
 @query("v8_url_leaks", with_tables("SELECT rule, count(*) AS n FROM report WHERE rule LIKE '%url' GROUP BY rule", "plans", extra=STEPS_SQL + ", " + _REPORT))
@@ -180,9 +180,10 @@ def w9(spark, sf):
     return ql.ordering_broken(derived(spark, sf, "plans")).where("misplaced").select("plan_id", "action_pos")
 
 
-_BACK = ["plan_id", "goal", "title", "action_pos", "action_name", "description", "category", "group_pos", "step_pos", "step"]
+_BACK = ["plan_id", "goal", "title", "action_pos", "action_name", "description", "category", "group_pos", "step_pos", "step", "link", "check_link"]
 
 
 @query("a9_layout_round_trip", with_tables(f"SELECT {', '.join('dense_rank() OVER (PARTITION BY plan_id ORDER BY action_pos) - 1 AS action_pos' if c == 'action_pos' else c for c in _BACK)} FROM steps", "plans", extra=STEPS_SQL))
 def a9(spark, sf):
-    return layout.flatten_plans(layout.assemble_plans(plan_steps(spark, sf))).select(*_BACK)
+    back = layout.flatten_plans(layout.assemble_plans(plan_steps(spark, sf)))
+    return back.withColumns({"link": F.col("link_struct.deeplink"), "check_link": F.col("check_struct.deeplink")}).select(*_BACK)

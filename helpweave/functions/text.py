@@ -163,10 +163,9 @@ def lexical_tokens(c) -> Column:
 
 def grounding_tokens(c) -> Column:
     """Distinct words used to compare a step with an article sentence."""
-    found = F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9_-]+"), F.lit(0))
-    # A word starts and ends on a letter, digit or underscore.
-    trimmed = F.transform(found, lambda w: F.regexp_replace(w, "^-+|-+$", ""))
-    return F.array_distinct(F.filter(trimmed, lambda w: (F.length(w) > 1) & ~one_of(w, lx.GROUNDING_STOP_WORDS)))
+    # A word starts and ends at a word boundary; a run inside a word of other letters is none.
+    found = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(?U)\b[a-z0-9_-]+\b"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 1) & ~one_of(w, lx.GROUNDING_STOP_WORDS)))
 
 
 def plain_stems(text) -> Column:

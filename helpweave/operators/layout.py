@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helpweave import schemas
+
 LONG = ["plan_id", "goal", "title", "score", "action_pos", "action_name", "description", "category", "group_pos", "step_pos", "step"]
 
 
@@ -17,8 +19,33 @@ def flatten_plans(goals: DataFrame) -> DataFrame:
                     F.posexplode_outer("g.steps").alias("step_pos", "step"))
 
 
+def _struct_of(kind: str, source: dict[str, str], columns: list[str]):
+    """Exchange struct of type ``kind`` from flat columns; null where its ``deeplink`` is."""
+    fields = [f.split(":", 1) for f in kind[len("struct<"):-1].replace("map<string,string>", "map<string;string>").split(",")]
+    cells = [
+        (F.col(source[n]) if source.get(n) in columns else F.lit(None)).cast(t.replace(";", ",")).alias(n) for n, t in fields
+    ]
+    return F.when(F.col(source["deeplink"]).isNotNull(), F.struct(*cells))
+
+
+def with_link_structs(steps: DataFrame) -> DataFrame:
+    """Add ``link_struct`` and ``check_struct`` where only the flat columns of the pipeline are there."""
+    out = steps
+    if "link_struct" not in out.columns and "link" in out.columns:
+        source = {"deeplink": "link", "description": "link_description", "message": "link_message", "originalType": "link_type"}
+        out = out.withColumn("link_struct", _struct_of(schemas.LINK, source, out.columns))
+    if "check_struct" not in out.columns and "check_link" in out.columns:
+        source = {"deeplink": "check_link", "key": "check_key", "resultType": "check_result_type", "condition": "check_condition", "value": "check_value"}
+        out = out.withColumn("check_struct", _struct_of(schemas.CHECK, source, out.columns))
+    return out
+
+
 def assemble_plans(steps: DataFrame) -> DataFrame:
-    """One row per step to ``plan_id, goal struct``; order comes from the position columns."""
+    """One row per step to ``plan_id, goal struct``; order comes from the position columns.
+
+    Links come from ``link_struct`` and ``check_struct``, or from the flat columns that the pipeline makes.
+    """
+    steps = with_link_structs(steps)
     links = [c for c in ("link_struct", "check_struct") if c in steps.columns]
     groups = steps.groupBy("plan_id", "action_pos", "group_pos").agg(
         *[F.first(c, ignorenulls=True).alias(c) for c in ["goal", "title", "score", "action_name", "description", "category", *links]],

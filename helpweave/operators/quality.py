@@ -87,7 +87,7 @@ def _violations(df: DataFrame, keys: list[str], checks: list[tuple[str, str, Col
 
 
 def plan_level(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("plan_id").agg(F.first("goal").alias("goal"), F.first("title").alias("title"), F.first("score").alias("score"))
+    return steps.groupBy("plan_id").agg(F.first("goal").alias("goal"), F.first("title").alias("title"), F.first("score").alias("score"), F.count("action_pos").alias("n_actions"))
 
 
 def action_level(steps: DataFrame) -> DataFrame:
@@ -98,16 +98,28 @@ def action_level(steps: DataFrame) -> DataFrame:
     )
 
 
+def group_level(steps: DataFrame) -> DataFrame:
+    """One row per step group; a link belongs to its group, however many steps the group has."""
+    links = [F.max(c).alias(c) for c in ("link", "check_link")]
+    held = steps.where("action_pos IS NOT NULL AND group_pos IS NOT NULL")
+    return held.groupBy("plan_id", "action_pos", "group_pos").agg(F.count("step").alias("n_steps"), *links)
+
+
 def validate_plans(steps: DataFrame) -> DataFrame:
-    """Every rule violation: ``plan_id, rule, severity, action_pos, step_pos``."""
+    """Every rule violation: ``plan_id, rule, severity, action_pos, step_pos``.
+
+    Findings about groups (no steps, a web address as link) count once per group. A plan without actions has
+    one warning and no finding below the plan; an action without groups has none about groups.
+    """
     none = F.lit(None).cast("int")
     plans = plan_level(steps)
     plan_rows = _violations(plans, ["plan_id"], [
         ("goal_syntax", "error", ~goal_ok("goal")),
         ("title_format", "error", ~title_ok("title")),
         ("score_range", "error", ~F.coalesce(score_ok("score"), F.lit(False))),
+        ("no_actions", "warning", F.col("n_actions") == 0),
     ]).select("plan_id", "rule", "severity", none.alias("action_pos"), none.alias("step_pos"))
-    actions = ordering_broken(action_level(steps))
+    actions = ordering_broken(action_level(steps.where("action_pos IS NOT NULL")))
     action_rows = _violations(actions, ["plan_id", "action_pos"], [
         ("action_name_format", "error", ~name_ok("action_name")),
         ("description_format", "error", ~description_ok("description")),
@@ -116,7 +128,6 @@ def validate_plans(steps: DataFrame) -> DataFrame:
         ("manual_link", "error", (F.col("category") == "manual") & F.col("linked")),
         ("name_url", "error", tx.contains_urls("action_name")),
         ("description_url", "error", tx.contains_urls("description")),
-        ("empty_group", "error", F.col("n_steps") == 0),
         ("action_ordering", "error", F.col("misplaced")),
     ])
     # A plan's ordering is one finding, at its first misplaced action.
@@ -127,10 +138,14 @@ def validate_plans(steps: DataFrame) -> DataFrame:
         ("step_url", "error", tx.contains_urls("step")),
         ("step_empty", "error", tx.strip("step") == ""),
         ("step_verb", "warning", ~tx.contains_urls("step") & (tx.strip("step") != "") & ~step_verb_known("step")),
-        ("link_url", "error", F.coalesce(tx.contains_urls("link") & F.col("link").isNotNull(), F.lit(False))),
-        ("check_link_url", "error", F.coalesce(tx.contains_urls("check_link") & F.col("check_link").isNotNull(), F.lit(False))),
     ]).select("plan_id", "rule", "severity", "action_pos", "step_pos")
-    return plan_rows.unionByName(first).unionByName(step_rows)
+    leak = lambda c: F.coalesce(tx.contains_urls(c) & F.col(c).isNotNull(), F.lit(False))
+    group_rows = _violations(group_level(steps), ["plan_id", "action_pos", "group_pos"], [
+        ("empty_group", "error", F.col("n_steps") == 0),
+        ("link_url", "error", leak("link")),
+        ("check_link_url", "error", leak("check_link")),
+    ]).select("plan_id", "rule", "severity", "action_pos", none.alias("step_pos"))
+    return plan_rows.unionByName(first).unionByName(group_rows).unionByName(step_rows)
 
 
 def plan_validity(steps: DataFrame) -> DataFrame:
@@ -208,7 +223,7 @@ def repair_plans(steps: DataFrame) -> DataFrame:
         "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score").cast("double"))),
         "action_name": repair_name("action_name"), "description": repair_description("description"),
     }
-    for c in ("link", "check_link"):
+    for c in ("link", "check_link", "link_struct", "check_struct", "link_description", "link_message", "link_type"):
         if c in df.columns:
             fixes[c] = F.when(manual, None).otherwise(F.col(c))
     return critical_last(df.withColumns(fixes))
