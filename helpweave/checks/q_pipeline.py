@@ -231,3 +231,52 @@ def a8(spark, sf):
     back = spark.read.schema(f"plan_id long, goal {schemas.GOAL}").json(folder)
     linked = F.filter("goal.actions", lambda a: F.exists(a["stepGroups"], lambda g: g["actionableDeeplink"]["deeplink"].isNotNull()))
     return back.select("plan_id", "goal.title", F.size("goal.actions").alias("actions"), F.size(linked).alias("linked"))
+
+
+# --- documents of JSON --------------------------------------------------------------------
+DOC_ROWS = 200
+
+
+def write_documents(df, key: str, field: str, cell, folder: str) -> None:
+    """JSON documents of ``DOC_ROWS`` keys each, one per file: ``{field: [cell, ...]}`` in order of ``key``."""
+    bucket = F.floor(F.col(key) / DOC_ROWS)
+    rows = df.groupBy(bucket.alias("b")).agg(F.array_sort(F.collect_list(F.struct(key, cell.alias("cell")))).alias("r"))
+    text = rows.select(F.to_json(F.struct(F.transform("r", lambda x: x["cell"]).alias(field))).alias("value"))
+    text.write.option("maxRecordsPerFile", 1).text(folder)
+
+
+@query(
+    "a2_read_articles",
+    with_tables(
+        "SELECT CAST(article_id AS VARCHAR) AS id, CASE WHEN article_id % 4 = 0 THEN '' ELSE original_query END AS original_query, title, CASE WHEN article_id % 3 = 0 THEN '' ELSE content END AS content,"
+        f" CAST(row_number() OVER (PARTITION BY article_id // {DOC_ROWS} ORDER BY article_id) - 1 AS INT) AS seq FROM articles", "articles"),
+)
+def a2(spark, sf):
+    a, folder = derived(spark, sf, "articles"), scratch(spark, "articles")
+    body = F.struct("title", F.when(F.col("article_id") % 3 != 0, F.col("content")).alias("content"))
+    cell = F.struct(F.col("article_id").cast("string").alias("id"), F.when(F.col("article_id") % 4 != 0, F.col("original_query")).alias("original_query"), body.alias("siis_response"))
+    write_documents(a, "article_id", "responses", cell, folder)
+    return rd.read_articles(spark, folder)
+
+
+@query(
+    "a3_read_catalog",
+    with_tables(
+        "SELECT id, deeplink, description, message, originalType, v_deeplink, v_key, v_condition,"
+        f" 2 * (row_number() OVER (PARTITION BY seq // {DOC_ROWS} ORDER BY seq) - 1) AS seq FROM catalog", "catalog"),
+)
+def a3(spark, sf):
+    """Every entry stands twice in its document; the second, the true one, counts at the place of the first."""
+    c, folder = derived(spark, sf, "catalog"), scratch(spark, "catalog")
+    check = F.struct(F.col("v_deeplink").alias("deeplink"), F.col("v_key").alias("key"), F.col("v_result_type").alias("resultType"), F.col("v_condition").alias("condition"), F.col("v_value").alias("value"))
+    both = F.array(*[F.struct("id", "deeplink", d.alias("description"), "message", "originalType", check.alias("validation")) for d in (F.lit("old"), F.col("description"))])
+    rows = c.groupBy(F.floor(F.col("seq") / DOC_ROWS).alias("b")).agg(F.array_sort(F.collect_list(F.struct("seq", both.alias("cells")))).alias("r"))
+    rows.select(F.to_json(F.struct(F.flatten(F.transform("r", lambda x: x["cells"])).alias("deeplinks"))).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return rd.read_catalog(spark, folder).select("id", "deeplink", "description", "message", "originalType", "v_deeplink", "v_key", "v_condition", "seq")
+
+
+@query("a10_read_labels", with_tables("SELECT scenario_id, category, expected_id FROM eval_predictions", "eval_predictions"))
+def a10(spark, sf):
+    e, folder = derived(spark, sf, "eval_predictions"), scratch(spark, "labels")
+    write_documents(e, "scenario_id", "scenarios", F.struct("scenario_id", "category", "expected_id"), folder)
+    return rd.read_labels(spark, folder, "scenarios", "scenario_id:long,category:string,expected_id:string")

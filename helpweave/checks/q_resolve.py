@@ -216,18 +216,18 @@ def _predicate(name, sql, build):
 _predicate("e7_label_supported", f"len(glab) > 0 AND len({_common('glab', 'ws')}) >= least(2, len(glab))", lambda: rs.supports(rs.label_parts("ms", lx.GESTURE_WORDS), F.col("ws"), False))
 _predicate("e8_label_covered", f"len(lab) > 0 AND len({_minus('lab', 'ws')}) = 0", lambda: rs.covers(rs.label_parts("ms"), F.col("ws")))
 _predicate("e9_leaf_named", f"originalType <> 'onClickURL' AND ((len(lab) > 0 AND len({_minus('lab', 'ast')}) = 0) OR (len(dlab) > 0 AND len({_minus('dlab', 'ast')}) = 0))",
-           lambda: (rs.entry_level("originalType") == "leaf") & (rs.covers(rs.label_parts("ms"), F.col("ast")) | rs.covers(rs.label_parts("ds"), F.col("ast"))))
+           lambda: (rs.entry_level("originalType") == "leaf") & rs.leaf_named(rs.label_parts("ms"), rs.label_parts("ds"), F.col("ast")))
 _predicate("e10_leaf_supported", f"len({_minus('lab', q.stems('page'))}) = 0 OR len({_common(_minus('lab', q.stems('page')), 'ast')}) >= least(2, len({_minus('lab', q.stems('page'))}))",
            lambda: rs.supports(F.array_except(rs.label_parts("ms"), tx.stems("page")), F.col("ast"), True))
 _predicate("e12_breadcrumb_contained", "contains(lower(description), lower(page)) OR contains(lower(message), lower(page))",
-           lambda: F.lower("description").contains(F.lower("page")) | F.lower("message").contains(F.lower("page")))
+           lambda: rs.mentions("description", "message", "page"))
 
 
 @query("e14_path_alignment", with_tables("SELECT group_id, id, CASE WHEN group_id % 6 = 0 THEN 0.6 WHEN contains(lower(description), lower(page)) OR contains(lower(message), lower(page)) THEN 1.0 ELSE 0.3 END AS path_value FROM ge", "catalog", extra=_NEAR))
 def e14(spark, sf):
     g = _group_entries(spark, sf)
     crumb = F.when(F.col("group_id") % 6 != 0, F.col("page"))
-    has = F.lower("description").contains(F.lower("page")) | F.lower("message").contains(F.lower("page"))
+    has = rs.mentions("description", "message", "page")
     return g.select("group_id", "id", rs.path_alignment(crumb, has).alias("path_value"))
 
 

@@ -86,6 +86,17 @@ def supports(label, words, when_empty: bool) -> Column:
     return F.when(F.size(label) == 0, F.lit(when_empty)).otherwise(F.size(F.array_intersect(label, words)) >= F.least(F.lit(2), F.size(label)))
 
 
+def mentions(description, message, label) -> Column:
+    """The label occurs in the entry's description or message, in any case; null without a label."""
+    needle = F.lower(col(label))
+    return F.lower(col(description)).contains(needle) | F.lower(col(message)).contains(needle)
+
+
+def leaf_named(own_message, own_description, words) -> Column:
+    """All words of the entry's own message, or of its own description, occur."""
+    return covers(col(own_message), col(words)) | covers(col(own_description), col(words))
+
+
 # --- screens --------------------------------------------------------------------------
 def resolve_screens(groups: DataFrame, index: TextIndex, entries: DataFrame, pool_size: int = lx.SCREEN_POOL) -> DataFrame:
     """One screen per distinct step list (``qid, steps``).
@@ -114,8 +125,8 @@ def resolve_screens(groups: DataFrame, index: TextIndex, entries: DataFrame, poo
     rows = rows.withColumn("crumb_stems", F.coalesce(tx.stems("breadcrumb"), F.array().cast("array<string>")))
     needle = F.lower("breadcrumb")
     is_leaf = F.col("originalType").isNotNull() & (F.col("originalType") != "onClickURL")
-    named = is_leaf & (F.size("acts") > 0) & (covers(F.col("own_message"), F.col("act_stems")) | covers(F.col("own_description"), F.col("act_stems")))
-    rows = rows.withColumn("mentions", F.coalesce(F.col("dl").contains(needle) | F.col("ml").contains(needle), F.lit(False)))
+    named = is_leaf & (F.size("acts") > 0) & leaf_named("own_message", "own_description", "act_stems")
+    rows = rows.withColumn("mentions", F.coalesce(mentions("dl", "ml", "breadcrumb"), F.lit(False)))
     rows = rows.withColumn("in_filter", F.col("breadcrumb").isNotNull() & (F.col("mentions") | named))
 
     # distrust a filter that drops a much stronger match
