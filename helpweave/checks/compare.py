@@ -30,17 +30,17 @@ def cell(v) -> str:
 def spark_session(cores: str = "8", memory: str = "8g"):
     from pyspark.sql import SparkSession
 
-    from helpweave.session import tune
+    from helpweave.session import SHUFFLE_CONF
 
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("helpweave")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.showConsoleProgress", "false").config(*SHUFFLE_CONF)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return tune(spark)
+    return spark
 
 
 def main() -> None:

@@ -9,16 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Keep small but expanding shuffles parallel.
-
-    Term joins and text rules do much work per byte. The default lower bound of 1 MB per
-    partition would fold such a shuffle into a few tasks; large shuffles are not affected.
-    """
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
-    return spark
+#: Lower bound of a merged shuffle partition. Term joins and text rules do much work per byte; Spark's default of
+#: 1 MB would fold such a shuffle into a few tasks. A builder option for sessions that run these jobs.
+SHUFFLE_CONF = ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+#: Tables that ``materialize`` has written.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,9 +41,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/helpweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process has materialised, once no result that reads them is needed; returns their number."""
+    jvm = spark.sparkContext._jvm
+    for path in _written:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    done = len(_written)
+    _written.clear()
+    return done
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than the cluster has cores (a few small files)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -98,3 +98,10 @@ def test_all_plans_of_a_compositional_answer_without_repeated_critical_actions(s
                                     "seq long, action_pos int, action_name string, category string")
     got = sorted((r["complaint_id"], r["goal_pos"], r["action_pos"]) for r in answered_actions(answers, actions).collect())
     assert got == [(1, 0, 0), (1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 0, 1)]
+
+
+def test_release_deletes_what_was_materialised(spark):
+    from helpweave.session import materialize, release
+
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3 and release(spark) >= 1 and release(spark) == 0
