@@ -231,7 +231,8 @@ def j17(spark, sf):
     with_tables(
         rf"""SELECT (SELECT count(*) FROM pl) AS rows, (SELECT sum(regexp_matches(goal, '^Follow these steps to perform this .+ (Troubleshooting|Configuration)\.?$')::INT + (len(string_split(title, ' ')) BETWEEN 2 AND 3)::INT + (score BETWEEN 0 AND 1)::INT) FROM pl)
    + (SELECT sum((description LIKE 'It will%' AND len(string_split(description, ' ')) BETWEEN 5 AND 7)::INT) FROM ac) AS rules_ok,
-  (SELECT 3 * count(*) FROM pl) + (SELECT count(*) FROM ac) AS rules_total, (SELECT count(DISTINCT plan_id) FROM steps WHERE step LIKE '%www%' OR description LIKE '%www%') AS leaks,
+  (SELECT 3 * count(*) FROM pl) + (SELECT count(*) FROM ac) AS rules_total, (SELECT count(DISTINCT plan_id) FROM steps WHERE step LIKE '%www%' OR description LIKE '%www%' OR check_link LIKE 'http%' OR (action_pos + step_pos) % 9 = 4) AS leaks,
+  (SELECT count(*) FROM pl) AS schema,
   (SELECT sum(linked::INT) FROM ac) AS links, (SELECT sum((linked AND lk IN (SELECT deeplink FROM catalog))::INT) FROM ac) AS links_ok,
   (SELECT sum((category = 'auto')::INT) FROM ac) AS auto, (SELECT sum((category = 'auto' AND linked)::INT) FROM ac) AS auto_linked,
   (SELECT sum((n BETWEEN 8 AND 10)::INT) FROM (SELECT plan_id, count(DISTINCT step_pos * 10 + action_pos) AS n FROM steps GROUP BY plan_id) v) AS variations_ok""",
@@ -242,7 +243,8 @@ ac AS (SELECT plan_id, action_pos, any_value(description) AS description, any_va
 )
 def g10(spark, sf):
     s = plan_steps(spark, sf)
-    v = s.select("plan_id", (F.col("step_pos") * 10 + F.col("action_pos")).cast("string").alias("text"))
+    told = F.when((F.col("action_pos") + F.col("step_pos")) % 9 == 4, " see www.example.com").otherwise("")
+    v = s.select("plan_id", F.concat((F.col("step_pos") * 10 + F.col("action_pos")).cast("string"), told).alias("text"))
     return ev.compliance_report(s, derived(spark, sf, "catalog"), v)
 
 

@@ -175,7 +175,7 @@ def step_accuracy(steps: DataFrame, articles: DataFrame, headings: DataFrame) ->
 
 # --- reports --------------------------------------------------------------------------
 def compliance_report(steps: DataFrame, catalog: DataFrame, variants: DataFrame) -> DataFrame:
-    """One row of rule, leak, link and paraphrase counts over a results table."""
+    """One row of schema, rule, leak, link and paraphrase counts over a results table; links and paraphrases can leak too."""
     known = catalog.select(F.col("deeplink").alias("link")).distinct().withColumn("known", F.lit(1))
     plans = steps.groupBy("plan_id").agg(F.first("goal").alias("goal"), F.first("title").alias("title"), F.first("score").alias("score"))
     n_words = F.size(tx.words("title"))
@@ -189,14 +189,19 @@ def compliance_report(steps: DataFrame, catalog: DataFrame, variants: DataFrame)
                     F.sum((auto & (F.col("all_linked") == 1)).cast("long")).alias("auto_linked"))
     groups = steps.groupBy("plan_id", "action_pos", "group_pos").agg(F.first("link", ignorenulls=True).alias("link")).where("link IS NOT NULL").join(known, "link", "left")
     g = groups.agg(F.count("*").alias("links"), F.sum((F.col("known").isNotNull() | F.col("link").endswith(lx.PLACEHOLDER_SUFFIX)).cast("long")).alias("links_ok"))
-    leak = tx.any_of([tx.contains_urls(c) for c in ("goal", "title", "action_name", "description", "step")])
-    k = steps.groupBy("plan_id").agg(F.max(leak.cast("int")).alias("leak")).agg(F.sum("leak").alias("leaks"))
+    texts = [c for c in ("goal", "title", "action_name", "description", "step", "link", "check_link") if c in steps.columns]
+    leak = tx.any_of([F.coalesce(tx.contains_urls(c) & F.col(c).isNotNull(), F.lit(False)) for c in texts])
+    whole = F.col("goal").isNotNull() & F.col("title").isNotNull() & F.col("score").isNotNull()
+    named = F.col("action_pos").isNull() | (F.col("action_name").isNotNull() & F.col("description").isNotNull() & F.coalesce(F.col("category").isin(*lx.CATEGORIES), F.lit(True)))
+    said = variants.groupBy("plan_id").agg(F.max(tx.contains_urls("text").cast("int")).alias("said"))
+    each = steps.groupBy("plan_id").agg(F.max(leak.cast("int")).alias("leak"), F.min((whole & named).cast("int")).alias("valid"))
+    k = each.join(said, "plan_id", "left").agg(F.sum(F.greatest("leak", F.coalesce("said", F.lit(0)))).alias("leaks"), F.sum("valid").alias("schema"))
     v = variants.groupBy("plan_id").agg(F.countDistinct("text").alias("n")).agg(F.sum(F.col("n").between(8, 10).cast("long")).alias("variations_ok"))
     out = p.withColumn("k", F.lit(1))
     for part in (a, g, k, v):
         out = out.join(part.withColumn("k", F.lit(1)), "k")
     return out.select("rows", (F.col("plan_ok") + F.col("action_ok")).alias("rules_ok"), (3 * F.col("rows") + F.col("actions")).alias("rules_total"),
-                      "leaks", "links", "links_ok", "auto", "auto_linked", "variations_ok")
+                      "schema", "leaks", "links", "links_ok", "auto", "auto_linked", "variations_ok")
 
 
 def latency_report(calls: DataFrame, value: str, percentiles=(50, 95), by: list[str] | None = None, exact: bool = True) -> DataFrame:
