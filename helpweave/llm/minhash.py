@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helpweave.llm.embeddings import forest
 from helpweave.llm.graph import components
 from helpweave.llm.textnum import Words, binaries, chunks, lists, mix, prefix_sums, span_hash
 from helpweave.session import materialize
 
 #: Signature coordinates, and how many must agree. At similarity 0.8 fewer agree with a chance below 1e-8.
 COORDINATES, MATCHES = 64, 30
+#: Nodes in a tile of a large group, and columns of a set matrix made at a time.
+TILE, COLUMNS = 512, 4096
 _seed = np.random.default_rng(64)
 FLIP = _seed.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + _seed.integers(0, 2, COORDINATES, dtype=np.uint64)
 TIMES = _seed.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,27 +112,74 @@ def agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return pairs.select("a", "b", agree.alias("agree")).where(F.col("agree") >= matches)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full sets reach ``percent``; sets are made for the nodes in question only."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = classes.select("node", F.col("rep").alias("doc_id")).join(asked, "node").select("doc_id").distinct()
+def group_sets(groups: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """``node, part, shingles`` of the grouped nodes (``node, part``); sets are made for these only."""
+    ids = classes.select("node", F.col("rep").alias("doc_id")).join(groups.select("node"), "node").select("doc_id").distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    sets = materialize(full_sets(texts, width).join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return full_sets(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles")).join(groups, "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for r in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[r].as_py(), np.uint64) for c in (2, 3))
-                both_have = len(x) + len(y) - len(np.union1d(x, y))
-                ok[r] = 100 * both_have >= percent * (len(x) + len(y) - both_have)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def set_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (from ``a``, from ``b``) of sets that reach ``percent``; exact intersection sizes by matrix products.
 
-
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
+    Only shingles that two of the sets share can count, so only they become columns, a block of columns at a time.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, col, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), held[col] > 1
+    column = np.cumsum(held > 1) - 1
+    row, col = row[shared], column[col[shared]]
+    both = np.zeros((len(a), len(b)))
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        i, j = np.searchsorted(col, [at, at + COLUMNS])
+        x = np.zeros((len(sets), min(COLUMNS, int(col[-1]) + 1 - at)), np.float32)
+        x[row[i:j], col[i:j] - at] = 1
+        both += x[a] @ x[b].T
+    either = size[a][:, None] + size[b][None, :] - both
+    i, j = np.nonzero(100 * both >= percent * either)
+    return a[i], b[j]
+
+
+def linked_parts(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """``a, b``: links (node, root) that join the same nodes as all links inside each part.
+
+    A part of more than ``tile`` nodes is cut into tiles and each pair of tiles is one task; small parts
+    share tasks. A task gives a spanning forest, so no rows of pairs exist at any group size.
+    """
+    sizes = sets.groupBy("part").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    total = sizes.agg(F.coalesce(F.sum("tiles"), F.lit(0)).alias("n")).first()["n"]
+    placed = sets.join(sizes, "part").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    copies = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    home = F.when(F.col("tiles") > 1, F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(max(1, total // 64))))
+    rows = copies.select((F.col("tiles") > 1).alias("cut"), home.alias("home"), F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "t", "part", "node", "shingles")
+
+    def compare(g):
+        import pandas as pd
+
+        out_a, out_b = [], []
+        g = g.sort_values(["part", "node"], ignore_index=True)
+        part, node, t = g["part"].to_numpy(), g["node"].to_numpy(), g["t"].to_numpy()
+        lo, hi = int(g["lo"].iat[0]), int(g["hi"].iat[0])
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if j - i < 2:
+                continue
+            sets_ = [np.frombuffer(x, np.uint64) for x in g["shingles"].iloc[i:j]]
+            x = np.flatnonzero(t[i:j] == lo)
+            y = x if lo == hi else np.flatnonzero(t[i:j] == hi)
+            u, v = set_links(sets_, x, y, percent)
+            k, root = forest(u, v, j - i)
+            out_a.append(node[i:j][k])
+            out_b.append(node[i:j][root])
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+    return rows.groupBy("cut", "home", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``documents (doc_id, text)``.
 
     Rows link when ``100 * intersection >= percent * union`` of their sets of distinct ``width``-word shingles (A-Z lower-cased,
@@ -137,29 +187,30 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mat
     set, link with nothing and are kept. ``component_id`` is the least doc_id reachable. Equal texts and repeated rows are one
     component; of rows that share a doc_id all are returned. Other columns are ignored; no rows give no rows.
 
-    Equal sets are joined once, as one node. Nodes meet in the posting lists of their rare signature values. First every node is
-    compared with the least node of each list and linked to the best, which joins groups of near copies of any size
-    by stars. Then all pairs of a list that are still in different components are compared. Every link is confirmed on full sets.
+    Equal sets are joined once, as one node. Nodes meet in the posting lists of their rare signature values. Each node is compared
+    with one node of each list, and those that agree ``matches`` times fall into one group; then pairs of a list that are still in
+    different groups are compared and may join groups. So two nodes that agree often enough are in one group, without
+    all pairs of a large group being made. Links are found on full sets, group by group.
     """
     sets = materialize(signatures(documents, width))
     classes = materialize(sets.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     posted = materialize(prefixes(classes, matches))
-    hub = posted.groupBy("key").agg(F.min("node").alias("hub"), F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
+    hub = posted.groupBy("key").agg(F.min("node").alias("hub"))
     starred = posted.join(hub, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     starred = materialize(agreeing(starred, classes, matches))
-    best = starred.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    links = materialize(confirmed(best, classes, documents, width, percent))
-    part = components(links)
-    # pairs of a list in different parts, whatever was compared before
+    part = components(starred)
     now = posted.join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component_id", "node")).drop("component_id")
     mixed = now.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("key")
     left = materialize(now.join(mixed, "key", "left_semi"))
     x, y = (left.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "part")]) for s in ("1", "2"))
-    rest = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("part1") != F.col("part2")) & fits("n1", "n2") & fits("n2", "n1"))
-    rest = materialize(agreeing(rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), classes, matches))
-    more = confirmed(rest, classes, documents, width, percent)
-    part = components(links.unionByName(more))
+    fits = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
+    across = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("part1") != F.col("part2")) & fits)
+    across = agreeing(across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), classes, matches)
+    part = components(starred.select("a", "b").unionByName(across.select("a", "b")))
+    roots = part.select(F.col("component_id").alias("node")).distinct()
+    groups = materialize(part.select(F.col("id").alias("node"), F.col("component_id").alias("part")).unionByName(roots.select("node", F.col("node").alias("part"))))
+    links = linked_parts(materialize(group_sets(groups, classes, documents, width)), percent, tile)
+    part = components(links)
     ids = classes.select("node", "rep").join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component_id", "node"))
     least = ids.groupBy("part").agg(F.min("rep").alias("component"))
     of = ids.join(least, "part").select("node", "component")

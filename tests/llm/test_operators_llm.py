@@ -187,8 +187,8 @@ def brute_near(rows, width, percent=80):
     return {i: (len(sets[i]), part[i], part[i] == i) for i in ids}
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates_equal_brute_force(spark, odd_texts, width):
+@pytest.mark.parametrize("width, tile", [(4, 512), (5, 3)])
+def test_near_duplicates_equal_brute_force(spark, odd_texts, width, tile):
     from helpweave.llm.minhash import near_duplicates
 
     rng = random.Random(11)
@@ -203,7 +203,7 @@ def test_near_duplicates_equal_brute_force(spark, odd_texts, width):
     shared = sentence(rng, 40)  # half of each text, never enough to link
     texts += [shared + " " + sentence(rng, 40) for _ in range(30)]
     df = docs(spark, texts).repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, width).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, width, tile=tile).collect()}
     want = brute_near(list(enumerate(texts)), width)
     assert got == want and sum(not v[2] for v in want.values()) > 20
     assert near_duplicates(df.limit(0)).collect() == []
