@@ -93,15 +93,8 @@ def window_rows(texts: DataFrame, width: int) -> DataFrame:
 
 def padded(cells: pa.Array, width: int) -> np.ndarray:
     """Binary cells as rows of ``width`` bytes, filled up with zeros."""
-    size = pc.binary_length(cells).to_numpy().astype(np.int64)
-    _, at, raw = cells.buffers()
-    first = np.frombuffer(at, np.int32)[cells.offset : cells.offset + len(cells)].astype(np.int64)
-    out = np.zeros((len(cells), width), np.uint8)
-    total = int(size.sum())
-    if total:
-        col = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(np.arange(len(cells)), size), col] = np.frombuffer(raw, np.uint8)[np.repeat(first, size) + col]
-    return out
+    raw = b"".join(x[:width].ljust(width, b"\0") for x in cells.to_pylist())
+    return np.frombuffer(raw, np.uint8).reshape(len(cells), width)
 
 
 def induce(gram: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
