@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helpweave.llm.textnum import lists
+from helpweave.llm.textnum import Words, chunks, lists
 from helpweave.session import materialize
 
 #: Pre-tokens of the vocabulary's byte-level scheme (fixed value).
@@ -251,29 +251,45 @@ class _Special(str):
         return isinstance(other, _Special) and str.__eq__(self, other)
 
 
-def count_words(texts: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
-    """``word (binary), n``: pre-tokens of all texts of at most ``LONGEST`` bytes, summed per batch before the shuffle."""
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
 
-        pattern, vocabulary = regex.compile(PATTERN), Vocabulary(tokenizer)
-        seen: Counter = Counter()
+def count_words(texts: DataFrame, column: str = "text") -> DataFrame:
+    """``word (binary), n``: runs of letters of all texts, with the space before them if there is one.
+
+    Runs of at most ``LONGEST`` bytes are counted, summed per task before the shuffle. Any byte from 128 on counts as a letter here: these
+    are candidates for the lexicon, whose entries are encoded like all other words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
 
         def out():
-            kept = [(w.encode(), n) for w, n in seen.items() if not isinstance(w, _Special)]
-            kept = [(w, n) for w, n in kept if len(w) <= LONGEST]
+            made = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+            return made
 
         for b in batches:
-            for t in b.column(0):
-                seen.update(_words(t.as_py() or "", vocabulary, pattern))
+            for _, _, data, bounds in chunks(b.column(0)):
+                words = Words(data, bounds, blank=~LETTER)
+                start, end = words.start, words.end
+                spaced = np.zeros(len(start), bool)
+                spaced[start > 0] = data[start[start > 0] - 1] == 32
+                spaced[words.bounds[:-1][words.counts > 0]] &= start[words.bounds[:-1][words.counts > 0]] > bounds[:-1][words.counts > 0]
+                key = words.hash ^ spaced.astype(np.uint64)
+                _, first, count = np.unique(key, return_index=True, return_counts=True)
+                start = (start - spaced)[first]
+                raw = data.tobytes()
+                for x, y, n in zip(start.tolist(), end[first].tolist(), count.tolist()):
+                    if y - x <= LONGEST:
+                        w = raw[x:y]
+                        seen[w] = seen.get(w, 0) + n
                 if len(seen) > 200_000:
                     yield out()
         yield out()
 
-    return texts.select(column).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select(F.col(column).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, limit: int, word: str = "word") -> DataFrame:
@@ -308,9 +324,9 @@ def encode(texts: DataFrame, tokenizer: str, column: str = "text", into: str = "
     The word counts cover all texts; the lexicon made of them is bounded by ``limit`` words of
     ``LONGEST`` bytes whatever the input, and is broadcast. A word outside it is merged exactly.
     """
-    counts = materialize(count_words(texts, tokenizer, column).where("n > 1"))
+    counts = materialize(count_words(texts, column).where("n > 1"))
     shared = texts.sparkSession.sparkContext.broadcast(build_lexicon(counts, tokenizer, limit))
-    rest = [f for f in texts.schema.fields if f.name != column]
+    rest = [f for f in texts.schema.fields if f.name not in (column, into)]
     given = texts.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{column}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,22 +380,34 @@ def encode(texts: DataFrame, tokenizer: str, column: str = "text", into: str = "
     return given.mapInArrow(run, schema)
 
 
-def decode_batch(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Bytes of each run of ids; ``table`` holds all token bytes, ``at`` their bounds."""
-    size = at[ids + 1] - at[ids]
-    stop = np.cumsum(size)
-    total = int(stop[-1]) if len(stop) else 0
-    where = np.arange(total) + np.repeat(at[ids] - (stop - size), size)
-    raw = table[where].tobytes()
-    edges = np.r_[0, stop][bounds]
-    return [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
+#: Tokens of up to this many bytes are copied from a table of that width.
+WIDE = 16
+
+
+class Cells:
+    """Byte strings by number, kept flat and, cut to ``WIDE`` bytes, as table rows."""
+
+    def __init__(self, cells: list[bytes]):
+        self.size = np.array([len(c) for c in cells], np.int64)
+        self.flat, self.at = np.frombuffer(b"".join(cells), np.uint8), np.cumsum(self.size) - self.size
+        self.rows = np.frombuffer(b"".join(c[:WIDE].ljust(WIDE, b"\0") for c in cells), np.uint8).reshape(len(cells), WIDE)
+
+    def join(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The strings of each run of ids, one after the other."""
+        size = self.size[ids]
+        stop = np.cumsum(size)
+        width = int(size.max()) if len(ids) else 0
+        if width <= WIDE:
+            raw = self.rows[ids, :width][np.arange(width) < size[:, None]].tobytes()
+        else:
+            raw = self.flat[np.arange(stop[-1]) + np.repeat(self.at[ids] - (stop - size), size)].tobytes()
+        edges = np.r_[0, stop][bounds].tolist()
+        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
-def token_table(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+def token_cells(tokenizer: str) -> Cells:
     vocabulary = Vocabulary(tokenizer)
-    top = max(vocabulary.bytes) + 1
-    cells = [vocabulary.bytes.get(i, b"") for i in range(top)]
-    return np.frombuffer(b"".join(cells), np.uint8), np.cumsum([0, *map(len, cells)])
+    return Cells([vocabulary.bytes.get(i, b"") for i in range(max(vocabulary.bytes) + 1)])
 
 
 def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -387,41 +415,42 @@ def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[at[0] : at[-1]].astype(np.int64), at - at[0]
 
 
-def decode(encoded: DataFrame, tokenizer: str, column: str = "ids", into: str = "text", digests: bool = False) -> DataFrame:
-    """All columns but ``column``, and ``into``: the decoded text (special tokens kept, broken UTF-8 replaced).
+def decode(encoded: DataFrame, tokenizer: str, column: str = "ids", into: str = "text", digests: bool = False, keep: bool = False) -> DataFrame:
+    """All columns but ``column`` (unless ``keep``), and ``into``: the decoded text (special tokens kept, broken UTF-8 replaced).
 
     Null ids decode to an empty text. With ``digests`` the columns ``n_tokens, ids_sha256`` (of the decimal
     ids joined by commas) and ``decoded_sha256`` follow instead of the text.
     """
-    rest = [f for f in encoded.schema.fields if f.name != column]
+    made_names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else (into,)
+    rest = [f for f in encoded.schema.fields if f.name not in (column, *made_names)]
     given = encoded.select(*[F.col(f"`{f.name}`") for f in rest], F.coalesce(F.col(f"`{column}`"), F.array().cast("array<int>")).alias(column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, at = token_table(tokenizer)
-        digits = [b"%d," % i for i in range(len(at) - 1)]
-        decimal, decimal_at = np.frombuffer(b"".join(digits), np.uint8), np.cumsum([0, *map(len, digits)])
+        table = token_cells(tokenizer)
+        decimal = Cells([b"%d," % i for i in range(len(table.size))]) if digests else None
         for b in batches:
             last = b.num_columns - 1
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 ids, bounds = _list_parts(part.column(last))
-                texts = [x.decode("utf-8", "replace") for x in decode_batch(ids, bounds, table, at)]
-                keep = [part.column(k) for k in range(last)]
+                texts = [x.decode("utf-8", "replace") for x in table.join(ids, bounds)]
+                held = [part.column(k) for k in range(last + keep)]
                 if digests:
                     made = [
                         pa.array(np.diff(bounds)),
-                        pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in decode_batch(ids, bounds, decimal, decimal_at)], pa.string()),
+                        pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in decimal.join(ids, bounds)], pa.string()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
                     ]
-                    names = [*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
+                    names = [*part.schema.names[: last + keep], "n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
-                    made, names = [pa.array(texts, pa.string())], [*part.schema.names[:-1], into]
-                yield pa.RecordBatch.from_arrays(keep + made, names=names)
+                    made, names = [pa.array(texts, pa.string())], [*part.schema.names[: last + keep], into]
+                yield pa.RecordBatch.from_arrays(held + made, names=names)
 
     from pyspark.sql import types as T
 
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [(into, T.StringType())]
-    return given.mapInArrow(run, T.StructType([*rest, *[T.StructField(n, t) for n, t in new]]))
+    own = [T.StructField(column, T.ArrayType(T.IntegerType()))] if keep else []
+    return given.mapInArrow(run, T.StructType([*rest, *own, *[T.StructField(n, t) for n, t in new]]))
 
 
 def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.json") -> str:
