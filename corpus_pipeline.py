@@ -12,7 +12,7 @@ from helpweave.llm.bpe import decode, encode, tokenizer_path
 from helpweave.llm.decontaminate import drop_contaminated
 from helpweave.llm.minhash import near_duplicates
 from helpweave.llm.substring import drop_repeats
-from helpweave.llm.toxicity import score_toxicity, train_toxicity
+from helpweave.llm.toxicity import score, train_toxicity
 from helpweave.session import materialize, table
 
 
@@ -23,8 +23,7 @@ def _columns(docs: DataFrame, names: list[str]) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labelled documents of the input folder."""
     model = train_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs.select(F.struct("*").alias("row"), F.col("text")), model)
-    return scored.where("predicted = 0").select("row.*")
+    return _columns(score(docs, model, into="toxicity_of_text").where("toxicity_of_text < 0.5"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     path = tokenizer_path(spark)
     done = encode(docs.select("doc_id", "lang", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("sum")), path)
-    back = decode(done.withColumn("copy", F.col("ids")), path, column="copy", into="decoded")
+    back = decode(done, path, into="decoded", keep=True)
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.md5("decoded") == F.col("sum")).alias("decoded_matches"))
 
 

@@ -16,6 +16,8 @@ from helpweave.session import materialize
 WIDTH, LITERAL, COVER = 6, 0.5, 0.5
 #: Benchmark windows up to which their hashes are broadcast as a filter; a larger benchmark is joined without it.
 FILTER_LIMIT = 2_000_000
+#: Benchmark windows up to which the windows themselves are broadcast as well.
+JOIN_LIMIT = 100_000
 UNITS = (
     "mm cm km inch inches ft foot feet yd yard yards mile miles mg kg gram grams ton tons lb lbs pound pounds oz ounce ounces "
     "ml litre litres liter liters sec seconds minute minutes hour hours day days week weeks month months year years "
@@ -128,12 +130,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     items = items.select("item_id", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), F.col("total").alias("of"))
     spark = documents.sparkSession
     wanted = None
-    small = items.count() <= FILTER_LIMIT
-    if small:
+    size = items.count()
+    if size <= FILTER_LIMIT:
         found = items.select("h").distinct().toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(found))
     hits = template_windows(documents.where("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id", wanted, width).drop("total")
-    both = hits.join(F.broadcast(items) if small else items, "h").withColumn("shift", F.col("at") - F.col("item_at"))
+    both = hits.join(F.broadcast(items) if size <= JOIN_LIMIT else items, "h").withColumn("shift", F.col("at") - F.col("item_at"))
     filled = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("item"), z["slots"].alias("doc")))
     aligned = both.groupBy("doc_id", "item_id", "shift", "of").agg(
         F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(filled))).alias("slots"), F.min("at").alias("first"), (F.max("at") + width - 1).alias("last"))

@@ -144,13 +144,11 @@ def score_quality(documents: DataFrame, model: Model, threshold: float = 0.3, co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
         for b in batches:
-            out = []
             for i, j, data, bounds in chunks(b.column(place)):
                 row, bucket = tokens(data, bounds)
                 mean = np.bincount(row, weight[bucket], j - i) / np.maximum(np.bincount(row, minlength=j - i), 1)
-                out.append(1 / (1 + np.exp(-np.clip(mean + bias, -500, 500))))
-            made = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made)], names=[*b.schema.names, "score"])
+                made = 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500)))
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(made)], names=[*b.schema.names, "score"])
 
     scored = rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -126,12 +126,10 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], into: str = "sc
         weights, bias = shared.value
         wanted = weights != 0
         for b in batches:
-            out = []
             for i, j, data, bounds in chunks(b.column(place)):
                 row, bucket = grams(data, bounds, wanted)
-                out.append(sigmoid(np.bincount(row, weights[bucket], j - i) + bias))
-            made = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made)], names=[*b.schema.names, into])
+                made = sigmoid(np.bincount(row, weights[bucket], j - i) + bias)
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(made)], names=[*b.schema.names, into])
 
     return documents.mapInArrow(run, schema)
 
