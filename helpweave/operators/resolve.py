@@ -198,9 +198,11 @@ def bind_links(groups: DataFrame, index: TextIndex, entries: DataFrame, threshol
     lists = linkable.withColumn("steps_key", F.array_join("steps", "\u0001")).groupBy("steps_key").agg(
         F.first("steps").alias("steps")).withColumn("qid", F.md5("steps_key"))
     screens = lists.select("steps_key", "qid").join(resolve_screens(lists.select("qid", "steps"), index, entries), "qid").drop("qid", "score")
-    df = groups.withColumn("steps_key", F.when(F.coalesce("category", F.lit("manual")) != "manual", F.array_join("steps", "\u0001")))
+    # manual groups never meet the screens: they would all share one (null) key
+    df = linkable.withColumn("steps_key", F.array_join("steps", "\u0001"))
     known = [*ENTRY[1:], "message_stems", *[c for c in entries.columns if c.startswith("v_")]]
     df = df.join(screens, "steps_key", "left").join(entries.select("doc", *[F.col(c).alias("e_" + c) for c in known]), "doc", "left")
+    df = df.unionByName(groups.where("coalesce(category, 'manual') = 'manual'"), allowMissingColumns=True)
     text = F.array_join("steps", " ")
     words = tx.stems(F.concat(text, F.lit(" "), F.coalesce("action_name", F.lit(""))))
     df = df.withColumns({"_words": words, "_settings": text.rlike(r"(?iU)\bsettings?\b")})
@@ -268,7 +270,7 @@ def to_groups(steps: DataFrame) -> DataFrame:
     return steps.groupBy("plan_id", "action_pos", "group_pos").agg(*[F.first(c).alias(c) for c in heads], ordered.alias("steps"))
 
 
-def resolve_plans(steps: DataFrame, index: TextIndex, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_plans(steps: DataFrame, index: TextIndex, entries: DataFrame, placeholder_uri: str = lx.PLACEHOLDER_URI) -> tuple[DataFrame, DataFrame]:
     """Bind, merge and order; returns (step groups with links, signals per plan)."""
-    bound = materialize(bind_links(to_groups(steps), index, entries))
+    bound = materialize(bind_links(to_groups(steps), index, entries, placeholder_uri=placeholder_uri))
     return order_actions(merge_same_screen(bound)), link_signals(bound)
