@@ -130,7 +130,9 @@ def open_complaints(spark, sf):
     """Complaints with, for every third one, the article of their user; and label complaints."""
     arts = derived(spark, sf, "articles")
     n = arts.count()
-    p = probes(spark, sf).select("complaint_id", "query", F.when(F.col("complaint_id") % 3 == 0, F.col("user_id") % n).alias("article_id"))
+    # some ask for two things at once, so that clauses have to be matched one by one
+    both = F.when(F.col("complaint_id") % 3 == 1, F.concat("query", F.lit("; Battery draining fast"))).otherwise(F.col("query"))
+    p = probes(spark, sf).withColumn("query", both).select("complaint_id", "query", F.when(F.col("complaint_id") % 3 == 0, F.col("user_id") % n).alias("article_id"))
     own = arts.select((F.col("article_id") + 100_000_000).alias("complaint_id"), F.concat(F.lit("Trouble with "), F.regexp_replace("original_query", " does not work", "")).alias("query"), F.lit(None).cast("long").alias("article_id"))
     return p.unionByName(own).join(arts.select("article_id", "title", "content"), "article_id", "left").drop("article_id")
 
