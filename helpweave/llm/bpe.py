@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helpweave.llm.counts import frequent
 from helpweave.llm.textnum import Words, chunks, lists
 from helpweave.session import materialize
 
@@ -292,22 +293,6 @@ def count_words(texts: DataFrame, column: str = "text") -> DataFrame:
     return texts.select(F.col(column).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, limit: int, word: str = "word") -> DataFrame:
-    """The words of the highest count classes that hold at most ``limit`` words together.
-
-    Classes are eighths of a doubling of the count ``n``, so the choice needs a histogram of a few hundred rows only and no task sends
-    more than its share of the chosen words.
-    """
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
-    room, cut = limit, None
-    for r in sorted(sizes, key=lambda r: -r["level"]):
-        if r["words"] > room:
-            break
-        room, cut = room - r["words"], r["level"]
-    return counts.where(F.lit(False) if cut is None else level >= cut)
-
-
 def build_lexicon(counts: DataFrame, tokenizer: str, limit: int = LEXICON) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Automaton image, and the token ids of the (at most ``limit``) most frequent words with their numbers."""
     words = sorted(bytes(r["word"]) for r in frequent(counts, limit).select("word").collect())

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helpweave.llm.counts import frequent
+
 #: Word list of the segmenter: the most frequent words of the pages' titles. Counts cover all pages.
 WORDS = 20_000
 LONGEST = 24
@@ -75,9 +77,9 @@ class Segmenter:
 def segment_names(names: DataFrame, words: DataFrame, limit: int = WORDS) -> DataFrame:
     """``name, parts`` for distinct ``name``: the ``limit`` most frequent words are the model.
 
-    The list has at most ``limit`` words of at most ``LONGEST`` characters, so it is small at any input size.
+    The list is the highest count classes and has at most ``limit`` words of at most ``LONGEST`` characters, so it is small at any input size.
     """
-    model = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(limit).collect()}
+    model = {r["word"]: r["n"] for r in frequent(words, limit).collect()}
     shared = names.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
