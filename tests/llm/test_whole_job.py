@@ -28,3 +28,22 @@ def test_toxicity_does_not_depend_on_length(spark):
             (6, longest + planted), (7, planted + clean[:1_000_000])]
     got = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), train_toxicity(given, labels)).collect()
     assert {r["doc_id"]: r["predicted"] for r in got} == {i: int(i > 4) for i in range(8)}
+
+
+# --- op7 ---------------------------------------------------------------------------------
+def held(spark, items, texts):
+    from helpweave.llm.decontaminate import contamination
+
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in contamination(df, bench).collect()}
+
+
+def test_decontamination_finds_short_dense_and_recased_items(spark):
+    items = ["Compute 12 + 15 * 3 - 8 / 2", "Name Peru's capital", "Did Anna Smith, Bob Jones and Carl Brown meet Dora White in New York before 1999 or after 2001?",
+             "Где живёт Анна Каренина сегодня и почему она не едет домой"]
+    texts = [f"Some words first. {t} And some after." for t in items]
+    odd = ["Compute 12 + 15 * 3 - 8 / 7", "Name Peru and its capital", "Nothing of it is here"]
+    n = len(items)
+    want = {(i + n * k, i) for i in range(n) for k in range(3)}
+    assert held(spark, items, texts + [t.upper() for t in texts] + [t.lower() for t in texts] + odd) - {(3 * n, 0)} == want
