@@ -47,3 +47,13 @@ def test_decontamination_finds_short_dense_and_recased_items(spark):
     n = len(items)
     want = {(i + n * k, i) for i in range(n) for k in range(3)}
     assert held(spark, items, texts + [t.upper() for t in texts] + [t.lower() for t in texts] + odd) - {(3 * n, 0)} == want
+
+
+def test_decontamination_keeps_what_agrees_of_a_near_copy(spark):
+    item = ("a farmer near Boston counts 12 sheep every morning and sells them at the market in Boston so that after many long weeks of "
+            "hard work the barn is empty again and the old dog can sleep on the warm floor until the next spring comes back to the green hills")
+    words = item.split()
+    quote = " ".join(words[20:45])
+    scattered = " ".join("changed" if i % 10 == 9 else w for i, w in enumerate(words))
+    texts = [item.replace("Boston", "Bostn", 1), item.replace("12", "13"), "He said: " + quote + " and left.", scattered, " ".join(words[20:29]) + " is short"]
+    assert held(spark, [item], texts) == {(0, 0), (1, 0), (2, 0), (3, 0)}
