@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helpweave.llm.counts import frequent
+from helpweave.session import materialize
 
-#: Word list of the segmenter: the most frequent words of the pages' titles. Counts cover all pages.
-WORDS = 20_000
+#: Characters of a title word that the segmenter knows, at most.
 LONGEST = 24
 #: Naive Bayes: added to every count; block from this log odds on.
 SMOOTH = 1.0
@@ -42,7 +41,7 @@ def first_rule(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]
 
 
 def title_words(pages: DataFrame) -> DataFrame:
-    """``word, n``: words of all titles, most frequent first (ties by word)."""
+    """``word, n``: all words of at most ``LONGEST`` characters of all titles."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
@@ -51,8 +50,9 @@ def title_words(pages: DataFrame) -> DataFrame:
 class Segmenter:
     """Best split of a name into words by unigram probability; unknown runs cost more the longer they are."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``counts`` of the words that can occur, and the sum of all words' counts plus one (if these are not all)."""
+        total = sum(counts.values()) + 1 if total is None else total
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(total) + 2.0
         self.longest = max([1, *map(len, counts)])
@@ -74,20 +74,27 @@ class Segmenter:
         return out[::-1]
 
 
-def segment_names(names: DataFrame, words: DataFrame, limit: int = WORDS) -> DataFrame:
-    """``name, parts`` for distinct ``name``: the ``limit`` most frequent words are the model.
+def segment_names(names: DataFrame, words: DataFrame) -> DataFrame:
+    """``name, parts`` for distinct ``name``; the model is the whole table ``words``.
 
-    The list is the highest count classes and has at most ``limit`` words of at most ``LONGEST`` characters, so it is small at any input size.
+    The substrings of a name are joined to the words, so a task holds only the words that stand in one name.
     """
-    model = {r["word"]: r["n"] for r in frequent(words, limit).collect()}
-    shared = names.sparkSession.sparkContext.broadcast(model)
+    words = materialize(words)
+    total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) + 1
+    names = names.select("name", F.md5("name").alias("key"))
+    size = F.length("name")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda k: F.substr("name", i, k))))
+    held = names.where("name != ''").select("key", F.explode(F.array_distinct(pieces)).alias("word")).join(words, "word")
+    found = held.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    rows = names.join(found, "key", "left").select("name", F.col("words.word").alias("words"), F.col("words.n").alias("counts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = Segmenter(shared.value)
         for b in batches:
-            yield pd.DataFrame({"name": b["name"], "parts": [cut.split(x) for x in b["name"]]})
+            parts = [Segmenter({} if w is None else dict(zip(w, map(int, n))), total).split(x) for x, w, n in zip(b["name"], b["words"], b["counts"])]
+            yield pd.DataFrame({"name": b["name"], "parts": parts})
 
-    return names.mapInPandas(run, "name string, parts array<string>")
+    return rows.mapInPandas(run, "name string, parts array<string>")
 
 
 def tokens(urls: DataFrame, words: DataFrame) -> DataFrame:

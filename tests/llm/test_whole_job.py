@@ -57,3 +57,17 @@ def test_decontamination_keeps_what_agrees_of_a_near_copy(spark):
     scattered = " ".join("changed" if i % 10 == 9 else w for i, w in enumerate(words))
     texts = [item.replace("Boston", "Bostn", 1), item.replace("12", "13"), "He said: " + quote + " and left.", scattered, " ".join(words[20:29]) + " is short"]
     assert held(spark, [item], texts) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+
+
+# --- op10 --------------------------------------------------------------------------------
+def test_url_words_are_not_cut_in_large_tables(spark):
+    from helpweave.llm.urls import Segmenter, segment_names
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = sorted({"".join(letters[(k // 26**e) % 26] for e in range(4)) for k in range(7, 25_007 * 17, 17)})[:25_000]
+    counts = {w: 1 for w in rare} | {"garden": 1, "house": 3, "the": 900}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    names = ["thegardenhouse", "gardenxq", "zz9", rare[17] + "house"]
+    got = {r["name"]: r["parts"] for r in segment_names(spark.createDataFrame([(n,) for n in names], "name string"), words).collect()}
+    assert len(counts) > 20_000 and got["thegardenhouse"] == ["the", "garden", "house"]
+    assert got == {n: Segmenter(counts).split(n) for n in names}
