@@ -185,7 +185,7 @@ def t3(spark, sf):
     return jobs.last_state(spark, out, ["query_hash"]).select("query_hash", "hits", F.date_format("last_accessed_at", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
-@query("t4_repeat_suppression", with_tables("SELECT DISTINCT normalized FROM sig", "complaints", extra=BASE))
+@query("t4_repeat_suppression", with_tables("SELECT DISTINCT normalized FROM complaints JOIN sig USING (query)", "complaints", extra=BASE))
 def t4(spark, sf):
     out = scratch(spark, "once")
     jobs.run_available(jobs.suppress_repeats(event_stream(spark, sf), "60 days"), "append", jobs.batch_files(out), scratch(spark, "cp"))

@@ -14,6 +14,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 SHUFFLE_CONF = ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
 #: Tables that ``materialize`` has written.
 _written: list[str] = []
+#: Folder of this process for local sessions that name none; the setting itself is static.
+_own_folder: list[str] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,9 +29,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="helpweave-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="helpweave-"))
+    return _own_folder[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:

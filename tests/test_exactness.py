@@ -105,3 +105,20 @@ def test_release_deletes_what_was_materialised(spark):
 
     kept = materialize(spark.range(3))
     assert kept.count() == 3 and release(spark) >= 1 and release(spark) == 0
+
+
+def test_a_local_session_without_a_checkpoint_folder_gets_one_of_its_own(spark):
+    from helpweave import session as s
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Bare:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    first = s.checkpoint_dir(Bare())
+    assert first == s.checkpoint_dir(Bare())
+    df = spark.range(3)
+    df.write.parquet(f"{first}/three")
+    assert spark.read.parquet(f"{first}/three").count() == 3
