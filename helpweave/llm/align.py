@@ -8,8 +8,10 @@ tokenize, and a tree of small groups puts its fragments together.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpweave.llm.bpe import Cells, _list_parts, byte_letters
+from helpweave.llm.bpe import PATTERN, Cells, _list_parts, byte_letters
 from helpweave.llm.counts import frequent
 from helpweave.llm.textnum import lists
 from helpweave.session import materialize
@@ -25,18 +27,21 @@ from helpweave.session import materialize
 #: Texts of more bytes than ``LONG`` are cut into ranges of ``RANGE`` bytes; so many fragments are joined at once.
 LONG, RANGE, FAN = 1 << 16, 1 << 14, 8
 #: Bytes of text that are aligned together, units that a task remembers, links that are made together at most (a larger group is made from its distinct ids).
-STEP, MEMO, WIDE_GROUP = 1 << 20, 400_000, 4096
+STEP, MEMO, WIDE_GROUP = 1 << 20, 500_000, 4096
 #: Id pairs of highest count whose counts every task gets; those of all others are joined.
 SHARED = 1_000_000
 #: Distinct pairs that a counting task holds before it sends them on.
-HELD = 2_000_000
+HELD = 1_000_000
 _SHAPE = "a array<int>, b array<int>, na array<int>, nb array<int>"
 
 
 def units(text: str) -> list[str]:
     """Parts of ``text`` between spaces; a space after white space (or at the start) stays inside, so that every cut is before a space that follows other text."""
+    parts = text.split(" ")
+    if "" not in parts and list(map(str.rstrip, parts)) == parts:
+        return parts
     out, held = [], []
-    for part in text.split(" "):
+    for part in parts:
         held.append(part)
         if part and not part[-1].isspace():
             out.append(" ".join(held) if len(held) > 1 else part)
@@ -47,37 +52,67 @@ def units(text: str) -> list[str]:
 
 
 class Pair:
-    """Two tokenizer files: ids and token bytes of space + text by a byte-level BPE (A) and of text by a sentence piece model that adds the space (B)."""
+    """Two tokenizer files: ids and token bytes of space + text by a byte-level BPE (A) and of text by a sentence piece model that adds the space (B).
+
+    A's ids must follow the order of its merges. Its special strings are plain text here.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        from tiktoken import Encoding
+
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = {c: n for n, c in byte_letters().items()}
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        made = [ranks[bytes(letters[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in spec["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError(f"{a_path}: ids do not follow the order of the merges")
+        self.a = Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_file=b_path)
-        letters = {c: bytes([n]) for n, c in byte_letters().items()}
-        vocabulary = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = b"".join(letters.get(c, c.encode()) for c in token)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            self.a_bytes[i] = raw
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.b_cells = Cells(self.b_bytes)
         #: A token of B never runs over the space between two units, so units can be tokenized alone.
         self.apart = not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_control(i))
 
     def split(self, text: str) -> list[str]:
         return units(text) if self.apart else [text]
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids of each part by A and by B, and whether both give its bytes back."""
-        full = [" " + p for p in parts]
-        a = [e.ids for e in self.a.encode_batch(full, add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1)
-        raw = [p.encode() for p in full]
-        ok = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw)]
-        return a, b, ok
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the units by A and how many each has, the same by B, and whether both give the unit's bytes back (no ids where they do not)."""
+        raw = (" " + " ".join(parts)).encode()
+        size = np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts)) + 1
+        # units one after the other are cut where units meet, so many are one call; not those that end in white space
+        tails = [i for i, (p, q) in enumerate(zip(parts, map(str.rstrip, parts))) if not q or p != q or not self.apart]
+        own = set(tails)
+        rest = " ".join(p for i, p in enumerate(parts) if i not in own) if tails else " ".join(parts)
+        ids = np.array(self.a.encode_ordinary(" " + rest) if len(own) < len(parts) else [], np.int64)
+        alone = np.zeros(len(parts), bool)
+        alone[tails] = True
+        stops = np.cumsum(np.where(alone, 0, size))
+        n_a = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.a_size[ids]), stops, "right")])
+        if tails:
+            edge = _starts(n_a)
+            found = {i: np.array(self.a.encode_ordinary(" " + parts[i]), np.int64) for i in tails}
+            ids = np.concatenate([x for i in range(len(parts)) for x in (ids[edge[i] : edge[i + 1]], found.get(i, ids[:0]))])
+            n_a[tails] = [len(found[i]) for i in tails]
+        found = self.b.encode(parts, num_threads=1)
+        n_b = np.fromiter(map(len, found), np.int64, len(found))
+        b = np.fromiter(chain.from_iterable(found), np.int64, int(n_b.sum()))
+        b_at = _starts(n_b)
+        ok = np.diff(_starts(self.b_size[b])[b_at]) == size
+        if not ok.all() or self.b_cells.join(b, b_at[[0, -1]])[0] != raw:
+            at = _starts(size).tolist()
+            ok &= np.fromiter((x == raw[i:j] for x, i, j in zip(self.b_cells.join(b, b_at), at, at[1:])), bool, len(parts))
+        if ok.all():
+            return ids, n_a, b, n_b, ok
+        return ids[np.repeat(ok, n_a)], np.where(ok, n_a, 0), b[np.repeat(ok, n_b)], np.where(ok, n_b, 0), ok
 
 
 def _starts(sizes: np.ndarray) -> np.ndarray:
@@ -87,11 +122,11 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs of numbers by index, with room for more."""
 
-    def __init__(self):
-        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def __init__(self, kind=np.int32):
+        self.flat, self.at = np.zeros(0, kind), np.zeros(1, np.int64)
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat, self.at = np.r_[self.flat, flat.astype(np.int32)], np.r_[self.at, self.at[-1] + np.cumsum(sizes)]
+        self.flat, self.at = np.r_[self.flat, flat.astype(self.flat.dtype)], np.r_[self.at, self.at[-1] + np.cumsum(sizes)]
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs of ``rows`` one after the other, and where each starts."""
@@ -101,7 +136,7 @@ class Runs:
 
 
 class Block:
-    """Aligned texts: ids of A and B and the token counts of the groups, each with row bounds."""
+    """Aligned texts (or units): ids of A and B and the token counts of the groups, each with row bounds."""
 
     def __init__(self, a, b, na, nb):
         (self.a, self.a_at), (self.b, self.b_at), (self.na, self.at), (self.nb, _) = a, b, na, nb
@@ -130,49 +165,63 @@ class Block:
             parts.append((np.full(len(x) * len(y), row[i]), np.repeat(x, len(y)), np.tile(y, len(x)), (m[:, None] * k).ravel()))
         return tuple(np.concatenate(p) for p in zip(*parts))
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the distinct links of each row, how often each occurs there, and the number of codes of each row."""
+        row, a, b, m = self.links()
+        return _distinct(row, (a.astype(np.int64) << 32) | b, m, len(self.at) - 1)
+
+
+def _distinct(row: np.ndarray, code: np.ndarray, times: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])][: len(row)])
+    return code[new], np.add.reduceat(times[order], new) if len(new) else times[:0], np.bincount(row[new], minlength=rows)
+
 
 class Aligner:
-    """Aligned units, each tokenized once as long as it is remembered."""
+    """Aligned units, each tokenized once as long as it is remembered. ``derive`` makes further values of new units, which are kept in ``more``."""
 
-    def __init__(self, pair: Pair):
-        self.pair = pair
+    def __init__(self, pair: Pair, derive=None):
+        self.pair, self.derive = pair, derive
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.a, self.b, self.na, self.nb, self.ok = Runs(), Runs(), Runs(), Runs(), np.zeros(0, bool)
+        self.more = None
 
     def rows(self, parts: list[str]) -> np.ndarray:
         """Number of each unit; new ones are tokenized and grouped."""
         if len(self.known) > MEMO:
             self.clear()
-        new = [u for u in dict.fromkeys(parts) if u not in self.known]
+        new = list(set(parts).difference(self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            a, b, ok = self.pair.encode(new)
-            self.ok = np.r_[self.ok, ok]
-            a, b = ([x if good else [] for x, good in zip(side, ok)] for side in (a, b))
-            sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b)]
-            a, b = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in zip((a, b), sizes))
+            a, n_a, b, n_b, ok = self.pair.encode(new)
             ends = np.cumsum(self.pair.a_size[a]), np.cumsum(self.pair.b_size[b])
             cuts = np.intersect1d(*ends, assume_unique=True)
-            owner = np.searchsorted(_starts(sizes[0]), np.searchsorted(ends[0], cuts), "right") - 1
+            owner = np.searchsorted(np.cumsum(n_a), np.searchsorted(ends[0], cuts), "right")
             groups = np.bincount(owner, minlength=len(new))
-            for held, side, n, end in zip(((self.a, self.na), (self.b, self.nb)), (a, b), sizes, ends):
-                held[0].add(side, n)
-                held[1].add(np.diff(np.r_[0, np.searchsorted(end, cuts, "right")]), groups)
+            counts = [np.diff(np.r_[0, np.searchsorted(end, cuts, "right")]) for end in ends]
+            self.ok = np.r_[self.ok, ok]
+            for held, flat, n in ((self.a, a, n_a), (self.b, b, n_b), (self.na, counts[0], groups), (self.nb, counts[1], groups)):
+                held.add(flat, n)
+            if self.derive:
+                made = Block((a, _starts(n_a)), (b, _starts(n_b)), (counts[0], _starts(groups)), (counts[1], _starts(groups)))
+                self.more = self.derive(made, self.more)
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
-    def block(self, texts: list[str | None]) -> Block:
-        """Alignment of whole texts; none for texts that are null, empty or not given back by both tokenizers."""
+    def units_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of whole texts and where each text's start; none for texts that are null, empty or not given back by both tokenizers."""
         parts = [self.pair.split(t) if t else [] for t in texts]
         rows = self.rows([u for p in parts for u in p])
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         bad = np.bincount(np.repeat(np.arange(len(parts)), size), ~self.ok[rows], len(parts)) > 0
-        rows, size = rows[~np.repeat(bad, size)], np.where(bad, 0, size)
-        edge = _starts(size)
-        taken = [held.take(rows) for held in (self.a, self.b, self.na, self.nb)]
-        return Block(*((v, stop[edge]) for v, stop in taken))
+        return rows[~np.repeat(bad, size)], _starts(np.where(bad, 0, size))
+
+    def block(self, texts: list[str | None]) -> Block:
+        rows, edge = self.units_of(texts)
+        return Block(*((v, stop[edge]) for v, stop in (held.take(rows) for held in (self.a, self.b, self.na, self.nb))))
 
     def fragment(self, text: str, skip: int, take: int) -> tuple:
         """Fragment of the byte range ``skip`` to ``skip + take`` of space + ``text``: tokens that end in it, and the counts of prefix, groups and suffix."""
@@ -291,30 +340,31 @@ class Alignment:
         self.short = given.where("NOT long").select(number.alias("row"), "key", "text")
         self.long = _long_texts(given.where("long").select((number + 1).alias("row"), "key", "text"), a_path, b_path)
 
-    def _map(self, make, schema: str) -> DataFrame:
-        """``make(row, key, block)`` gives the record batches of some aligned texts."""
+    def _map(self, make, schema: str, derive=None) -> DataFrame:
+        """``make(parts)`` gives record batches of parts ``(row, key, aligner, texts)`` of usual texts or ``(row, key, None, block)`` of long ones."""
         paths = self.paths
 
         def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def blocks():
-                aligner = Aligner(Pair(*paths))
+            def parts():
+                aligner = Aligner(Pair(*paths), derive)
                 for b in batches:
                     texts = _decoded(b.column(2))
                     for i, j in _spans(texts, STEP):
-                        yield b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), aligner.block(texts[i:j])
+                        yield b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), aligner, texts[i:j]
 
-            yield from make(blocks())
+            yield from make(parts())
 
         def of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from make((b.column(0).slice(i, 1), b.column(1).slice(i, 1), Block.of_lists(b.slice(i, 1), 2)) for b in batches for i in range(b.num_rows))
+            yield from make((b.column(0).slice(i, 1), b.column(1).slice(i, 1), None, Block.of_lists(b.slice(i, 1), 2)) for b in batches for i in range(b.num_rows))
 
         return self.short.mapInArrow(of_text, schema).unionByName(self.long.mapInArrow(of_lists, schema))
 
     def groups(self) -> DataFrame:
         """``row, key, a, b, na, nb``: token ids by both tokenizers, and how many of each the groups hold, in order."""
 
-        def make(blocks):
-            for row, key, block in blocks:
+        def make(parts):
+            for row, key, aligner, given in parts:
+                block = aligner.block(given) if aligner else given
                 yield pa.RecordBatch.from_arrays([row, key, *block.arrays()], names=["row", "key", "a", "b", "na", "nb"])
 
         return self._map(make, f"row long, key long, {_SHAPE}")
@@ -322,7 +372,13 @@ class Alignment:
     def pair_counts(self) -> DataFrame:
         """``a, b, n``: documents that hold the pair of ids linked; summed in tasks first."""
 
-        def make(blocks):
+        def derive(block, held):
+            code, _, n = block.pairs()
+            held = held or Runs(np.int64)
+            held.add(code, n)
+            return held
+
+        def make(parts):
             held: list = []
             size = 0
 
@@ -338,11 +394,17 @@ class Alignment:
                     x = code[i : i + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array((x >> 32).astype(np.int32)), pa.array((x & 0xFFFFFFFF).astype(np.int32)), pa.array(n[i : i + 100_000])], names=["a", "b", "n"])
 
-            for _, _, block in blocks:
-                row, a, b, _ = block.links()
-                order = np.lexsort((b, a, row))
-                row, code = row[order], (a[order].astype(np.int64) << 32) | b[order]
-                code = np.sort(code[np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])][: len(code)]])
+            for _, _, aligner, given in parts:
+                if aligner:
+                    units_, edge = aligner.units_of(given)
+                    doc = np.repeat(np.arange(len(given)), np.diff(edge))
+                    once = np.unique((doc << 32) | units_)  # a unit once a document
+                    doc, units_ = once >> 32, once & 0xFFFFFFFF
+                    code, at = aligner.more.take(units_) if aligner.more else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+                    code = _distinct(np.repeat(doc, np.diff(at)), code, np.ones(len(code), np.int64), len(given))[0]
+                else:
+                    code = given.pairs()[0]
+                code = np.sort(code)
                 new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
                 held.append((code[new], np.diff(np.r_[new, len(code)])))
                 size += len(new)
@@ -355,7 +417,7 @@ class Alignment:
             if held:
                 yield from send(*sums())
 
-        return self._map(make, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        return self._map(make, "a int, b int, n long", derive).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
     def scores(self) -> DataFrame:
         """``key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``: sizes of each alignment, how many links have the highest count of their A id,
@@ -375,46 +437,69 @@ class Alignment:
         order = np.argsort(code)
         shared = spark.sparkContext.broadcast((code[order], often["n"].to_numpy()[order], best))
         a_path, b_path = self.paths
+        cells: list = []
 
-        def make(blocks):
+        def scored(block: Block):
+            """Sums of each row, its digest text, and the links of it whose counts are not here."""
             known, number, best = shared.value
-            pair = Pair(a_path, b_path)
-            base = max(len(pair.a_bytes), len(pair.b_bytes))
-            cells = Cells([b"%d%b" % (i, mark) for mark in (b",", b"|", b";") for i in range(base)])
-            for row, key, block in blocks:
-                rows = len(row)
-                na, nb = block.na.astype(np.int64), block.nb.astype(np.int64)
-                a_stop, b_stop = np.cumsum(na), np.cumsum(nb)
-                # tokens in the order of the digest: of each group first A's, then B's
-                cell = np.empty(len(block.a) + len(block.b), np.int64)
-                a_mark, b_mark = np.zeros(len(block.a), np.int64), np.zeros(len(block.b), np.int64)
-                a_mark[a_stop - 1], b_mark[b_stop - 1] = base, 2 * base
-                cell[np.arange(len(block.a)) + np.repeat(b_stop - nb, na)] = block.a + a_mark
-                cell[np.arange(len(block.b)) + np.repeat(a_stop, nb)] = block.b + b_mark
-                texts = cells.join(cell, block.a_at + block.b_at)
+            if not cells:
+                pair = Pair(a_path, b_path)
+                base = max(len(pair.a_bytes), len(pair.b_bytes))
+                cells.extend((base, Cells([b"%d%b" % (i, mark) for mark in (b",", b"|", b";") for i in range(base)])))
+            base, table = cells
+            rows = len(block.at) - 1
+            na, nb = block.na.astype(np.int64), block.nb.astype(np.int64)
+            a_stop, b_stop = np.cumsum(na), np.cumsum(nb)
+            # tokens in the order of the digest: of each group first A's, then B's
+            cell = np.empty(len(block.a) + len(block.b), np.int64)
+            a_mark, b_mark = np.zeros(len(block.a), np.int64), np.zeros(len(block.b), np.int64)
+            a_mark[a_stop - 1], b_mark[b_stop - 1] = base, 2 * base
+            cell[np.arange(len(block.a)) + np.repeat(b_stop - nb, na)] = block.a + a_mark
+            cell[np.arange(len(block.b)) + np.repeat(a_stop, nb)] = block.b + b_mark
+            code, m, size = block.pairs()
+            of = np.repeat(np.arange(rows), size)
+            at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+            found = known[at] == code if len(known) else np.zeros(len(code), bool)
+            n = np.where(found, number[at], 0) if len(known) else np.zeros(len(code), np.int64)
+            links = np.bincount(np.repeat(np.arange(rows), np.diff(block.at)), na * nb, rows)
+            sums = [np.diff(block.a_at), np.diff(block.b_at), np.diff(block.at), links,
+                    np.bincount(of, np.where(found & (n == best[code >> 32]), m, 0), rows), np.bincount(of, m * n, rows)]
+            return np.array(sums).astype(np.int64), table.join(cell, block.a_at + block.b_at), code[~found], m[~found], np.bincount(of[~found], minlength=rows)
+
+        def derive(block, held):
+            sums, texts, code, times, size = scored(block)
+            held = held or [np.zeros((6, 0), np.int64), [], Runs(np.int64), Runs(np.int64)]
+            held[0] = np.concatenate([held[0], sums], axis=1)
+            held[1].extend(texts)
+            held[2].add(code, size)
+            held[3].add(times, size)
+            return held
+
+        def make(parts):
+            for row, key, aligner, given in parts:
+                if aligner:
+                    units_, edge = aligner.units_of(given)
+                    held = aligner.more or [np.zeros((6, 0), np.int64), [], Runs(np.int64), Runs(np.int64)]
+                    running = np.zeros((6, len(units_) + 1), np.int64)
+                    np.cumsum(held[0][:, units_], axis=1, out=running[:, 1:])
+                    sums = running[:, edge[1:]] - running[:, edge[:-1]]
+                    pick = held[1].__getitem__
+                    numbers = units_.tolist()
+                    texts = [b"".join(map(pick, numbers[x:z])) for x, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                    code, at = held[2].take(units_)
+                    doc = np.repeat(np.repeat(np.arange(len(given)), np.diff(edge)), np.diff(at))
+                    code, times, size = _distinct(doc, code, held[3].take(units_)[0], len(given))
+                else:
+                    sums, texts, code, times, size = scored(given)
                 digest = [hashlib.sha256(t[:-1]).hexdigest() if t else "" for t in texts]
-                of, a, b, m = block.links()
-                code = (a.astype(np.int64) << 32) | b
-                at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
-                found = known[at] == code if len(known) else np.zeros(len(code), bool)
-                n = number[at] if len(known) else np.zeros(len(code), np.int64)
-                total = np.bincount(of[found], (m * n)[found], rows)
-                top = np.bincount(of[found], np.where(n == best[a], m, 0)[found], rows)
-                links = np.bincount(np.repeat(np.arange(rows), np.diff(block.at)), na * nb, rows)
-                left = np.flatnonzero(~found)
-                left = left[np.lexsort((code[left], of[left]))]
-                new = np.flatnonzero(np.r_[True, (of[left][1:] != of[left][:-1]) | (code[left][1:] != code[left][:-1])][: len(left)])
-                times = np.add.reduceat(m[left], new) if len(new) else np.zeros(0, np.int64)
-                size = np.bincount(of[left][new], minlength=rows)
-                rest = [lists(x.astype(k), size, t) for x, k, t in ((a[left][new], np.int32, pa.int32()), (b[left][new], np.int32, pa.int32()), (times, np.int64, pa.int64()))]
-                whole = lambda x: pa.array(x.astype(np.int64))
+                rest = [lists(x.astype(k), size, t) for x, k, t in ((code >> 32, np.int32, pa.int32()), (code & 0xFFFFFFFF, np.int32, pa.int32()), (times, np.int64, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
-                    [row, key, whole(np.diff(block.a_at)), whole(np.diff(block.b_at)), whole(np.diff(block.at)), whole(links), whole(top), whole(total), pa.array(digest, pa.string()), *rest],
+                    [row, key, *(pa.array(x) for x in sums), pa.array(digest, pa.string()), *rest],
                     names=["row", "key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "ra", "rb", "rm"])
 
         schema = ("row long, key long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, "
                   "ra array<int>, rb array<int>, rm array<long>")
-        part = materialize(self._map(make, schema))
+        part = materialize(self._map(make, schema, derive))
         rare = part.where("size(ra) > 0").select("row", F.explode(F.arrays_zip("ra", "rb", "rm")).alias("r")).select("row", F.col("r.ra").alias("a"), F.col("r.rb").alias("b"), F.col("r.rm").alias("m"))
         held = rare.join(counts, ["a", "b"]).join(F.broadcast(top), "a")  # one row per id of A's vocabulary
         more = held.groupBy("row").agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("m")).otherwise(0)).alias("more_best"), F.sum(F.col("m") * F.col("n")).alias("more_sum"))

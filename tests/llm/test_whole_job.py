@@ -71,3 +71,19 @@ def test_url_words_are_not_cut_in_large_tables(spark):
     got = {r["name"]: r["parts"] for r in segment_names(spark.createDataFrame([(n,) for n in names], "name string"), words).collect()}
     assert len(counts) > 20_000 and got["thegardenhouse"] == ["the", "garden", "house"]
     assert got == {n: Segmenter(counts).split(n) for n in names}
+
+
+def test_long_title_words_and_long_hosts(spark):
+    from helpweave.llm.urls import Segmenter, judge_urls, segment_names, title_words
+
+    long = "donaudampfschifffahrtsgesellschaft"
+    pages = spark.createDataFrame([(i, f"<title>the {long} house {long}</title>") for i in range(3)] + [(None, None)], "page_id long, html string")
+    words = title_words(pages)
+    counts = {r["word"]: r["n"] for r in words.collect()}
+    assert counts[long] == 6
+    names = [f"the{long}house", long, long[:-1], "x" * 5000 + long]
+    got = {r["name"]: r["parts"] for r in segment_names(spark.createDataFrame([(n,) for n in names], "name string"), words).collect()}
+    assert got == {n: Segmenter(counts).split(n) for n in names} and got[names[0]] == ["the", long, "house"]
+    urls = [(1, f"http://the{long}house.com/a", "<title>x</title>"), (1, f"http://the{long}house.com/a", "<title>x</title>"), (None, None, None), (2, "http://" + "w" * 3000 + ".net/b?c", None)]
+    rows = judge_urls(spark.createDataFrame(urls, "page_id long, url string, html string"), [("block", "com", "/z")]).collect()
+    assert sorted((r["page_id"] or 0, len(r["host"]), r["verdict"]) for r in rows) == [(0, 0, "allow"), (1, 46, "allow"), (1, 46, "allow"), (2, 3004, "allow")]
