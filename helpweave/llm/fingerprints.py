@@ -251,7 +251,7 @@ def _ordered(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, int]
     before = F.pmod(F.col("bucket") - 1, F.lit(max(1, len(cuts))))
     copies = F.when(F.col("first"), F.array(F.struct("bucket", F.lit(False).alias("tail")), F.struct(before.alias("bucket"), F.lit(True).alias("tail")))).otherwise(
         F.array(F.struct("bucket", F.lit(False).alias("tail"))))
-    dealt = own.withColumn("copy", F.explode(copies)).select("copy.bucket", "copy.tail", "late", "turn", "sum", "key", "text").repartition(width, "bucket")
+    dealt = own.withColumn("copy", F.explode(copies)).select("copy.bucket", "copy.tail", "late", "turn", "sum", "key", "text").repartitionById(width, F.col("bucket"))
     return dealt.sortWithinPartitions("bucket", "tail", "late", "turn", "sum").select("tail", "key", F.col("text").cast("binary").alias("text")), len(cuts)
 
 

@@ -18,6 +18,10 @@ GRAMS = (3, 4, 5, 6)
 PIECE, STEP = 2048, 1024
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_ROWS = 12_000
+#: n-grams of the pieces of training texts that the driver holds, at most on average (4 bytes each); of more, fewer texts are fitted.
+TRAIN_GRAMS = 16_000_000
+#: n-grams of the training pieces that are summed together.
+BLOCK = 1 << 20
 #: Least contrast (log-likelihood ratio, distributed as chi-square) of the n-grams that stay in the linear model.
 CONTRAST = 20.0
 SMOOTH = 0.5
@@ -127,7 +131,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def features(rows: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """``y, grams``: for each piece of each training text, the numbers of the chosen n-grams it holds."""
+    """``turn, y, grams``: for each piece of each training text, the numbers of the chosen n-grams it holds; ``turn`` is the text's place in a random order (0 to 1)."""
     shared = rows.sparkSession.sparkContext.broadcast(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,20 +140,65 @@ def features(rows: DataFrame, hashes: np.ndarray) -> DataFrame:
             for i, j, data, bounds in chunks(b.column(0)):
                 piece, which, first = grams(data, bounds, chosen)
                 held = lists(which.astype(np.int32), np.bincount(piece, minlength=first[-1]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), held)], ["y", "grams"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in (1, 2)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), held)], ["turn", "y", "grams"])
 
-    return rows.select("text", "y").mapInArrow(run, "y int, grams array<array<int>>")
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    return rows.select("text", turn.alias("turn"), "y").mapInArrow(run, "turn double, y int, grams array<array<int>>")
 
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _flat(held: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Label and pieces of each text, n-grams of each piece, and their numbers one after the other, without a second copy of the table."""
+    table = held.toArrow()
+    y = (table["y"].to_numpy() > 0).astype(float)
+    lists_ = [c for c in table["grams"].chunks if len(c)]
+    del table
+    pieces, size, col = [], [], []
+    while lists_:
+        c = lists_.pop(0)
+        inner = c.flatten()
+        pieces.append(c.value_lengths().to_numpy())
+        size.append(inner.value_lengths().to_numpy())
+        col.append(inner.flatten().to_numpy())
+    return (y, *(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (pieces, size, col)))
+
+
+def _piece_sums(weight: np.ndarray, col: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each piece's n-grams, a block of pieces at a time."""
+    out = np.zeros(len(at) - 1)
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, "right")) - 1)
+        filled = np.flatnonzero(at[i + 1 : j + 1] > at[i:j]) + i
+        if len(filled):
+            out[filled] = np.add.reduceat(weight[col[at[i] : at[j]]], at[filled] - at[i])
+        i = j
+    return out
+
+
+def _gram_sums(err: np.ndarray, best: np.ndarray, col: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sum over the texts' strongest pieces of the text's error, by n-gram, a block of pieces at a time."""
+    out = np.zeros(n)
+    size = at[best + 1] - at[best]
+    stop = np.r_[0, np.cumsum(size)]
+    i = 0
+    while i < len(best):
+        j = max(i + 1, int(np.searchsorted(stop, stop[i] + BLOCK, "right")) - 1)
+        mine = np.arange(stop[j] - stop[i]) + np.repeat(at[best[i:j]] - (stop[i:j] - stop[i]), size[i:j])
+        out += np.bincount(col[mine], np.repeat(err[i:j], size[i:j]), n)
+        i = j
+    return out
+
+
 def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted hashes of the n-grams of the model, their weights and the bias, from training rows ``text, y``.
+    """Sorted hashes of the n-grams of the model, their weights and the bias, from training rows ``doc_id, text, y``.
 
     Every n-gram above ``CONTRAST`` is kept. A text counts by its strongest piece, as in ``score``. The driver holds those n-grams
-    and, for at most ``TRAIN_ROWS`` texts, which of them each piece has. With one class only there are none and the bias is that class's log odds.
+    and, for at most ``TRAIN_ROWS`` texts and about ``TRAIN_GRAMS`` n-grams, which of them each piece has; everything else it makes is of ``BLOCK`` numbers or
+    one number a piece. With one class only there are none and the bias is that class's log odds.
     """
     total = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
@@ -176,24 +225,20 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     order = np.argsort(h)
     h, p, q = h[order], p[order], q[order]
     ratio = np.log((p + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((q + SMOOTH) / (n0 + 2 * SMOOTH))
-    sample = features(rows, h).toArrow()
-    y = (sample["y"].to_numpy() > 0).astype(float)
-    held = sample["grams"].combine_chunks()
-    pieces = held.value_lengths().to_numpy()
-    first = np.r_[0, np.cumsum(pieces)]
+    held = materialize(features(rows, h))
+    grams_held = held.agg(F.sum(F.aggregate("grams", F.lit(0), lambda n, g: n + F.size(g)).cast("long"))).first()[0] or 0
+    y, pieces, size, col = _flat(held.where(F.col("turn") < TRAIN_GRAMS / max(grams_held, 1)).select("y", "grams"))
+    if not len(y):
+        return nothing
+    first, at = np.r_[0, np.cumsum(pieces)], np.r_[0, np.cumsum(size)]
     doc = np.repeat(np.arange(len(y)), pieces)
-    held = held.flatten()
-    size, col = held.value_lengths().to_numpy(), held.flatten().to_numpy()
-    row, value = np.repeat(np.arange(len(doc)), size), ratio[col]
     w, b = np.zeros(len(h)), bias
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):  # Adam over the whole sample; first the strongest piece by the ratios alone
-        z = np.bincount(row, value * w[col] if t > 1 else value, len(doc))
+        z = _piece_sums(ratio * w if t > 1 else ratio, col, at)
         best = np.lexsort((-np.arange(len(doc)), z, doc))[first[1:] - 1]
         err = sigmoid((z[best] if t > 1 else 0.0) + b) - y
-        share = np.zeros(len(doc))
-        share[best] = err
-        g = np.append(np.bincount(col, value * share[row], len(w)) / len(y) + RIDGE * w, err.mean())
+        g = np.append(ratio * _gram_sums(err, best, col, at, len(w)) / len(y) + RIDGE * w, err.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from helpweave.session import materialize
 
-#: Characters of a title word that the segmenter knows, at most.
-LONGEST = 24
+#: Words of up to this many characters meet the substrings of names directly, longer ones by their first characters.
+REACH = 24
 #: Naive Bayes: added to every count; block from this log odds on.
 SMOOTH = 1.0
 BLOCK_FROM = 0.0
@@ -41,10 +41,10 @@ def first_rule(host: Column, path: Column, rules: Iterable[tuple[str, str, str]]
 
 
 def title_words(pages: DataFrame) -> DataFrame:
-    """``word, n``: all words of at most ``LONGEST`` characters of all titles."""
+    """``word, n``: all words of all titles."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
@@ -77,15 +77,21 @@ class Segmenter:
 def segment_names(names: DataFrame, words: DataFrame) -> DataFrame:
     """``name, parts`` for distinct ``name``; the model is the whole table ``words``.
 
-    The substrings of a name are joined to the words, so a task holds only the words that stand in one name.
+    The substrings of a name are joined to the words, so a task holds only the words that stand in one name. Words of more than ``REACH`` characters meet
+    the substrings of that length by their start and are compared whole, so a name makes no more than ``REACH`` substrings a character.
     """
     words = materialize(words)
     total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) + 1
     names = names.select("name", F.md5("name").alias("key"))
     size = F.length("name")
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda k: F.substr("name", i, k))))
-    held = names.where("name != ''").select("key", F.explode(F.array_distinct(pieces)).alias("word")).join(words, "word")
+        F.sequence(F.lit(1), F.least(F.lit(REACH), size - i + 1)), lambda k: F.substr("name", i, k))))
+    near = names.where("name != ''").select("key", F.explode(F.array_distinct(pieces)).alias("word")).join(words.where(F.length("word") <= REACH), "word")
+    heads = F.transform(F.sequence(F.lit(1), size - REACH + 1), lambda i: F.substr("name", i, F.lit(REACH)))
+    starts = names.where(size >= REACH).select("key", "name", F.posexplode(heads).alias("at", "head"))
+    far = starts.join(words.where(F.length("word") > REACH).withColumn("head", F.substring("word", 1, REACH)), "head").where(
+        F.substr("name", F.col("at") + 1, F.length("word")) == F.col("word"))
+    held = near.select("key", "word", "n").unionByName(far.select("key", "word", "n").distinct())
     found = held.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     rows = names.join(found, "key", "left").select("name", F.col("words.word").alias("words"), F.col("words.n").alias("counts"))
 
