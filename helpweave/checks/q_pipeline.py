@@ -42,11 +42,18 @@ def a5(spark, sf):
     return rd.normalize_requests(raw).select("p_partkey", "title", "content")
 
 
-@query("a6_align_by_row", "SELECT c_custkey AS row_id, c_name, 'S' || c_custkey AS other FROM customer")
+@query(
+    "a6_align_by_row",
+    "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey || ' ' || c_name AS line, 'S' || c_custkey AS other FROM customer",
+)
 def a6(spark, sf):
+    """Two line files read back in file order, written in different numbers of files."""
     c = table(spark, sf, "customer")
-    right = c.select(F.col("c_custkey").alias("row_id"), F.concat(F.lit("S"), "c_custkey").alias("other"))
-    return rd.align_by_row(c.select(F.col("c_custkey").alias("row_id"), "c_name"), right)
+    lines, others = scratch(spark, "lines"), scratch(spark, "others")
+    for text, parts, path in ((F.concat_ws(" ", "c_custkey", "c_name"), 7, lines), (F.concat(F.lit("S"), "c_custkey"), 3, others)):
+        c.select("c_custkey", text.alias("value")).repartitionByRange(parts, "c_custkey").sortWithinPartitions("c_custkey").select("value").write.text(path)
+    left = rd.with_row_id(spark.read.text(lines)).withColumnRenamed("value", "line")
+    return rd.align_by_row(left, rd.with_row_id(spark.read.text(others)).withColumnRenamed("value", "other"))
 
 
 _RAW = """CASE p_partkey % 4 WHEN 0 THEN 'Sure! ```json' || chr(10) || '{"topic":"' || p_name || ' troubleshooting","title":"","actions":[{"name":"Check","desc":"","cat":"AUTO","steps":["Open Settings."," "]},{"name":"Empty","steps":[]},{"name":"","desc":"It will help","cat":"odd","steps":["Tap Display."]}],"variations":["a","b"]}' || chr(10) || '```'

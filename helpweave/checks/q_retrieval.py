@@ -65,7 +65,7 @@ def g1(spark, sf):
     f"WITH {_DOCS} SELECT qid, doc, round(b, 6) AS bm25, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(b, 9) DESC, doc) AS rn FROM scores WHERE b <> 0) t WHERE rn <= 10",
 )
 def j8(spark, sf):
-    return r.top_k(r.bm25_join(bench_queries(spark, sf), doc_index(spark, sf)), "bm25", 10).withColumn("bm25", F.round("bm25", 6))
+    return r.bm25_top(bench_queries(spark, sf), doc_index(spark, sf), 10).withColumn("bm25", F.round("bm25", 6))
 
 
 @query(
@@ -73,7 +73,7 @@ def j8(spark, sf):
     f"WITH {_DOCS} SELECT qid, doc, round(c, 6) AS cosine, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, doc) AS rn FROM scores WHERE c <> 0) t WHERE rn <= 10",
 )
 def j9(spark, sf):
-    return r.top_k(r.tfidf_join(bench_queries(spark, sf), doc_index(spark, sf)), "cosine", 10).withColumn("cosine", F.round("cosine", 6))
+    return r.tfidf_top(bench_queries(spark, sf), doc_index(spark, sf), 10).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(
@@ -146,7 +146,7 @@ def j11(spark, sf):
     f"WITH {_DOCS} SELECT qid, doc, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, doc) AS rn FROM scores WHERE c <> 0) t WHERE rn <= 3",
 )
 def w1(spark, sf):
-    return r.top_k(r.tfidf_join(bench_queries(spark, sf), doc_index(spark, sf)), "cosine", 3).select("qid", "doc", "rank")
+    return r.tfidf_top(bench_queries(spark, sf), doc_index(spark, sf), 3).select("qid", "doc", "rank")
 
 
 @query(

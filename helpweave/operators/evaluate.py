@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from helpweave import lexicons as lx
 from helpweave.functions import intent, text as tx
 from helpweave.functions.text import accuracy_stems, col, dot
+from helpweave.session import materialize
 
 
 # --- confidence -----------------------------------------------------------------------
@@ -207,25 +210,28 @@ def compliance_report(steps: DataFrame, catalog: DataFrame, variants: DataFrame)
 def latency_report(calls: DataFrame, value: str, percentiles=(50, 95), by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Nearest-rank percentiles per group.
 
-    Exact values come from counts per distinct value, so a large group is pre-aggregated instead
-    of sorted row by row; ``exact=False`` uses Spark's bounded-memory sketch.
+    Exact values come from counts per distinct value, dealt by ranges of group and value, so that a group of most rows is spread over many tasks. The counts of the
+    ranges (one row per group and range) give the rank at which each range begins, and only the ranges that hold a wanted rank are summed value by value. A null value is the
+    least. ``exact=False`` uses Spark's bounded-memory sketch.
     """
     by = by or []
     if not exact:
         return calls.groupBy(*by).agg(*[F.percentile_approx(value, p / 100).alias(f"p{p}") for p in percentiles], F.count("*").alias("n"))
     counts = calls.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    if not by:
-        upto, total = upto.withColumn("_k", F.lit(1)), total.withColumn("_k", F.lit(1))
-    joined = upto.join(total, by or ["_k"])
-
-    def at(p):
-        k = F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(p / 100) * F.col("n") + 0.5, 0).cast("long")))
-        return F.min(F.when(F.col("upto") >= k, F.col(value))).alias(f"p{p}")
-
-    return joined.groupBy(*by).agg(*[at(p) for p in percentiles], F.first("n").alias("n"))
+    width = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(width, *by, value).select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).alias("v"), "c", F.spark_partition_id().alias("range"))
+    dealt = materialize(dealt)
+    ranges = dealt.groupBy("g", "range").agg(F.sum("c").alias("held"))
+    one = Window.partitionBy("g")
+    before = F.coalesce(F.sum("held").over(one.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("before", before).withColumn("n", F.sum("held").over(one))
+    rank = {p: F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(p / 100) * F.col("n") + 0.5, 0).cast("long"))) for p in percentiles}
+    ranges = ranges.withColumns({f"k{p}": k for p, k in rank.items()})
+    wanted = ranges.where(reduce(lambda a, b: a | b, [F.col(f"k{p}").between(F.col("before") + 1, F.col("before") + F.col("held")) for p in percentiles]))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt.join(wanted, ["g", "range"]).withColumn("upto", upto)
+    found = rows.groupBy("g").agg(*[F.min(F.when(F.col("upto") >= F.col(f"k{p}"), F.col("v"))).alias(f"p{p}") for p in percentiles], F.first("n").alias("n"))
+    return found.select(*[F.col("g")[c].alias(c) for c in by], *[f"p{p}" for p in percentiles], "n")
 
 
 def hit_report(answers: DataFrame, by: list[str]) -> DataFrame:

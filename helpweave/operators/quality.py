@@ -78,18 +78,6 @@ def ordering_broken(actions: DataFrame) -> DataFrame:
 
 
 # --- report ---------------------------------------------------------------------------
-def _violations(df: DataFrame, keys: list[str], checks: list[tuple[str, str, Column]]) -> DataFrame:
-    """One row per failed check; ``checks`` are (rule, severity, failed)."""
-    marks = [F.when(failed, F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity"))) for rule, sev, failed in checks]
-    flagged = df.select(*keys, F.array_compact(F.array(*marks)).alias("found"))
-    # outer explode: a plain one would push a copy of every check into a filter below it
-    return flagged.select(*keys, F.explode_outer("found").alias("v")).where("v IS NOT NULL").select(*keys, "v.rule", "v.severity")
-
-
-def plan_level(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("plan_id").agg(F.first("goal").alias("goal"), F.first("title").alias("title"), F.first("score").alias("score"), F.count("action_pos").alias("n_actions"))
-
-
 def action_level(steps: DataFrame) -> DataFrame:
     linked = F.max(F.col("link").isNotNull()).alias("linked")
     return steps.groupBy("plan_id", "action_pos").agg(
@@ -98,54 +86,67 @@ def action_level(steps: DataFrame) -> DataFrame:
     )
 
 
-def group_level(steps: DataFrame) -> DataFrame:
-    """One row per step group; a link belongs to its group, however many steps the group has."""
-    links = [F.max(c).alias(c) for c in ("link", "check_link")]
-    held = steps.where("action_pos IS NOT NULL AND group_pos IS NOT NULL")
-    return held.groupBy("plan_id", "action_pos", "group_pos").agg(F.count("step").alias("n_steps"), *links)
+def _marked(steps: DataFrame) -> DataFrame:
+    """Step rows with the first row of each plan, action and step group marked, and what the rules need to know of each of them.
+
+    All windows divide the rows of one plan, so one shuffle and one sort serve every level.
+    """
+    levels = {"plan": ["plan_id"], "action": ["plan_id", "action_pos"], "group": ["plan_id", "action_pos", "group_pos"]}
+    order = ["action_pos", "group_pos", "step_pos"]
+    one = {k: Window.partitionBy(*keys) for k, keys in levels.items()}
+    row = {k: F.row_number().over(one[k].orderBy(*order[len(keys) - 1 :])) == 1 for k, keys in levels.items()}
+    earlier = one["plan"].orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    critical = (F.col("category") == "critical").cast("int")
+    df = steps.withColumns({
+        "first_of_plan": row["plan"], "first_of_action": row["action"] & F.col("action_pos").isNotNull(),
+        "first_of_group": row["group"] & F.col("action_pos").isNotNull() & F.col("group_pos").isNotNull(),
+        "n_actions": F.count("action_pos").over(one["plan"]), "linked": F.max(F.col("link").isNotNull()).over(one["action"]),
+        "n_steps": F.count("step").over(one["group"]), "group_link": F.max("link").over(one["group"]), "group_check": F.max("check_link").over(one["group"]),
+        "after_critical": F.coalesce(F.max(F.when(F.col("action_pos").isNotNull(), critical)).over(earlier), F.lit(0)) == 1,
+    })
+    misplaced = F.coalesce(F.col("after_critical") & (critical == 0) & F.col("action_pos").isNotNull(), F.lit(False))
+    df = df.withColumn("misplaced", misplaced)
+    return df.withColumn("first_misplaced", F.col("misplaced") & (F.coalesce(F.sum(F.col("misplaced").cast("int")).over(earlier), F.lit(0)) == 0))
 
 
 def validate_plans(steps: DataFrame) -> DataFrame:
     """Every rule violation: ``plan_id, rule, severity, action_pos, step_pos``.
 
-    Findings about groups (no steps, a web address as link) count once per group. A plan without actions has
-    one warning and no finding below the plan; an action without groups has none about groups.
+    Each rule is checked once per plan, action, step group or step, on the first row of it. Findings about groups (no steps, a web address as link) count once per
+    group, and a plan's ordering is one finding, at its first misplaced action. A plan without actions has one warning and no finding below the plan; an action without
+    groups has none about groups.
     """
+    leak = lambda c: F.coalesce(tx.contains_urls(c) & F.col(c).isNotNull(), F.lit(False))
+    plan, action, group, step = F.col("first_of_plan"), F.col("first_of_action"), F.col("first_of_group"), F.col("step").isNotNull()
+    checks = [
+        (plan, "goal_syntax", "error", ~goal_ok("goal")),
+        (plan, "title_format", "error", ~title_ok("title")),
+        (plan, "score_range", "error", ~F.coalesce(score_ok("score"), F.lit(False))),
+        (plan, "no_actions", "warning", F.col("n_actions") == 0),
+        (action, "action_name_format", "error", ~name_ok("action_name")),
+        (action, "description_format", "error", ~description_ok("description")),
+        (action, "description_length", "warning", description_ok("description") & description_length_odd("description")),
+        (action, "action_category", "error", ~F.coalesce(F.col("category").isin(*lx.CATEGORIES), F.lit(False))),
+        (action, "manual_link", "error", (F.col("category") == "manual") & F.col("linked")),
+        (action, "name_url", "error", tx.contains_urls("action_name")),
+        (action, "description_url", "error", tx.contains_urls("description")),
+        (F.lit(True), "action_ordering", "error", F.col("first_misplaced")),
+        (group, "empty_group", "error", F.col("n_steps") == 0),
+        (group, "link_url", "error", leak("group_link")),
+        (group, "check_link_url", "error", leak("group_check")),
+        (step, "step_url", "error", tx.contains_urls("step")),
+        (step, "step_empty", "error", tx.strip("step") == ""),
+        (step, "step_verb", "warning", ~tx.contains_urls("step") & (tx.strip("step") != "") & ~step_verb_known("step")),
+    ]
     none = F.lit(None).cast("int")
-    plans = plan_level(steps)
-    plan_rows = _violations(plans, ["plan_id"], [
-        ("goal_syntax", "error", ~goal_ok("goal")),
-        ("title_format", "error", ~title_ok("title")),
-        ("score_range", "error", ~F.coalesce(score_ok("score"), F.lit(False))),
-        ("no_actions", "warning", F.col("n_actions") == 0),
-    ]).select("plan_id", "rule", "severity", none.alias("action_pos"), none.alias("step_pos"))
-    actions = ordering_broken(action_level(steps.where("action_pos IS NOT NULL")))
-    action_rows = _violations(actions, ["plan_id", "action_pos"], [
-        ("action_name_format", "error", ~name_ok("action_name")),
-        ("description_format", "error", ~description_ok("description")),
-        ("description_length", "warning", description_ok("description") & description_length_odd("description")),
-        ("action_category", "error", ~F.coalesce(F.col("category").isin(*lx.CATEGORIES), F.lit(False))),
-        ("manual_link", "error", (F.col("category") == "manual") & F.col("linked")),
-        ("name_url", "error", tx.contains_urls("action_name")),
-        ("description_url", "error", tx.contains_urls("description")),
-        ("action_ordering", "error", F.col("misplaced")),
-    ])
-    # A plan's ordering is one finding, at its first misplaced action.
-    first = action_rows.groupBy("plan_id", "rule", "severity", F.when(F.col("rule") != "action_ordering", F.col("action_pos")).alias("at")).agg(
-        F.min("action_pos").alias("action_pos")
-    ).select("plan_id", "rule", "severity", "action_pos", none.alias("step_pos"))
-    step_rows = _violations(steps.where("step IS NOT NULL"), ["plan_id", "action_pos", "step_pos"], [
-        ("step_url", "error", tx.contains_urls("step")),
-        ("step_empty", "error", tx.strip("step") == ""),
-        ("step_verb", "warning", ~tx.contains_urls("step") & (tx.strip("step") != "") & ~step_verb_known("step")),
-    ]).select("plan_id", "rule", "severity", "action_pos", "step_pos")
-    leak = lambda c: F.coalesce(tx.contains_urls(c) & F.col(c).isNotNull(), F.lit(False))
-    group_rows = _violations(group_level(steps), ["plan_id", "action_pos", "group_pos"], [
-        ("empty_group", "error", F.col("n_steps") == 0),
-        ("link_url", "error", leak("link")),
-        ("check_link_url", "error", leak("check_link")),
-    ]).select("plan_id", "rule", "severity", "action_pos", none.alias("step_pos"))
-    return plan_rows.unionByName(first).unionByName(group_rows).unionByName(step_rows)
+
+    def finding(level, rule, severity, failed):
+        at = none if level is plan else F.col("action_pos").cast("int")
+        return F.when(level & failed, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), at.alias("action_pos"), (F.col("step_pos").cast("int") if level is step else none).alias("step_pos")))
+
+    found = _marked(steps).select("plan_id", F.array_compact(F.array(*[finding(*c) for c in checks])).alias("found"))
+    # outer explode: a plain one would push a copy of every check into a filter below it
+    return found.select("plan_id", F.explode_outer("found").alias("v")).where("v IS NOT NULL").select("plan_id", "v.*")
 
 
 def plan_validity(steps: DataFrame) -> DataFrame:
@@ -214,15 +215,28 @@ def critical_last(actions: DataFrame, keep: str | None = None) -> DataFrame:
     return out.withColumn("action_pos", F.col("_pos")).drop("_pos")
 
 
+def _once(df: DataFrame, keys: list[str], fixes: dict[str, Column]) -> DataFrame:
+    """Columns that all rows of ``keys`` share, computed on their first row alone and given to all of them."""
+    rows = Window.partitionBy(*keys)
+    order = [c for c in ("action_pos", "group_pos", "step_pos") if c in df.columns and c not in keys]
+    lead = F.row_number().over(rows.orderBy(*order)) == 1 if order else F.lit(True)
+    df = df.withColumn("_lead", lead)
+    df = df.withColumns({f"_{c}": F.when(F.col("_lead"), fix) for c, fix in fixes.items()})
+    return df.withColumns({c: F.max(f"_{c}").over(rows) for c in fixes}).drop("_lead", *[f"_{c}" for c in fixes])
+
+
 def repair_plans(steps: DataFrame) -> DataFrame:
-    """Scrub, phrase, case, clamp, strip links of manual actions and move critical actions last."""
-    df = scrub_plans(steps)
+    """Scrub, phrase, case, clamp, strip links of manual actions and move critical actions last.
+
+    Texts of a plan or an action are repaired once, on its first row; all windows divide a plan's rows, so the plan is shuffled once.
+    """
     manual = F.col("category") == "manual"
-    fixes = {
-        "goal": repair_goal("goal"), "title": repair_title("title"),
-        "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score").cast("double"))),
-        "action_name": repair_name("action_name"), "description": repair_description("description"),
-    }
+    clean = tx.scrub_urls
+    df = _once(steps, ["plan_id"], {c: let(clean(c), f) for c, f in (("goal", repair_goal), ("title", repair_title))})
+    df = _once(df, ["plan_id", "action_pos"], {c: let(clean(c), f) for c, f in (("action_name", repair_name), ("description", repair_description))})
+    fixes = {"score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score").cast("double")))}
+    if "step" in df.columns:
+        fixes["step"] = clean("step")
     for c in ("link", "check_link", "link_struct", "check_struct", "link_description", "link_message", "link_type"):
         if c in df.columns:
             fixes[c] = F.when(manual, None).otherwise(F.col(c))

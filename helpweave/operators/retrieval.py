@@ -1,35 +1,40 @@
 """BM25 and TF-IDF retrieval as joins on terms.
 
 One inverted index carries both token families (term prefix ``b:`` for BM25, ``t:`` for
-TF-IDF), so a corpus is tokenised, shuffled and weighted once. Postings of frequent terms are
-spread over salts at index time; the query side is repeated once per salt of its terms.
+TF-IDF), so a corpus is tokenised and weighted once. Its rows are terms in blocks of documents
+(see ``blockmax``), dealt by document, so no term is a hot key.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from helpweave import lexicons as lx
 from helpweave.functions.intent import link_polarity
 from helpweave.functions.text import one_of, retrieval_tokens, tfidf_tokens, words_of
+from helpweave.operators.blockmax import BLOCK_DOCS, best_documents, block_bounds, block_rows, block_scores
 from helpweave.session import broadcast_if_small, fan_out, materialize, spread
 
-POSTINGS_PER_SALT = 2_000_000
-
 
 @dataclass
 class TextIndex:
-    postings: DataFrame  # term, salt, doc, w: BM25 contribution or unit-length TF-IDF weight
-    terms: DataFrame     # term, df, idf, salts
+    blocks: DataFrame    # term_id, block, lexical (BM25 contributions, else unit-length TF-IDF weights), top, low, docs, ws
+    terms: DataFrame     # term, term_id, df, idf
+    sizes: DataFrame     # block, n: documents of each block, those without terms included
     n_docs: int
     n_terms: int
     bigrams: bool
     stop_words: str
 
+    @property
+    def postings(self) -> DataFrame:
+        """One row per term and document: ``term_id, lexical, doc, w``."""
+        return self.blocks.select("term_id", "lexical", F.explode(F.arrays_zip("docs", "ws")).alias("p")).select("term_id", "lexical", F.col("p.docs").alias("doc"), F.col("p.ws").alias("w"))
+
 
 def _exploded(df: DataFrame, text: str, bigrams: bool, stop_words: str) -> DataFrame:
     """One row per token occurrence with the prefixed ``term``; other columns are kept."""
@@ -64,29 +69,26 @@ def tfidf_idf(df, n):
 def build_index(docs: DataFrame, doc: str = "doc_id", text: str = "text", bigrams: bool = False,
                 stop_words: str = lx.ENGLISH_STOP_WORDS) -> TextIndex:
     """Weighted inverted index of a corpus version; written once, read by every query job."""
-    n = docs.count()
     postings = materialize(corpus_stats(spread(docs), doc, text, bigrams, stop_words)[0])
+    n = docs.count()
+    block = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-n // BLOCK_DOCS))))
     is_bm25 = F.col("term").startswith("b:")
-    avgdl = (postings.agg(F.sum(F.when(is_bm25, F.col("tf")))).first()[0] or 0.0) / max(n, 1)
-    freq = postings.groupBy("term").agg(F.count("*").alias("df"))
+    freq = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
     freq = freq.withColumn("idf", F.when(is_bm25, bm25_idf(F.col("df"), n)).otherwise(tfidf_idf(F.col("df"), n)))
-    freq = materialize(freq)
-    seen = freq.agg(F.avg(F.when(is_bm25, F.col("idf"))).alias("mean_idf"), F.count("*").alias("terms")).first()
+    freq = materialize(freq.withColumn("term_id", F.monotonically_increasing_id()))
+    seen = freq.agg(F.avg(F.when(is_bm25, F.col("idf"))).alias("mean_idf"), F.count("*").alias("terms"), F.sum(F.when(is_bm25, F.col("uses"))).alias("uses")).first()
+    avgdl = (seen["uses"] or 0.0) / max(n, 1)
     floor = lx.BM25_EPSILON * (seen["mean_idf"] or 0.0)
-    terms = freq.select(
-        "term", "df", F.when(is_bm25 & (F.col("idf") < 0), F.lit(floor)).otherwise(F.col("idf")).alias("idf"),
-        F.ceil(F.col("df") / POSTINGS_PER_SALT).cast("int").alias("salts"),
-    )
+    terms = freq.select("term", "term_id", "df", F.when(is_bm25 & (F.col("idf") < 0), F.lit(floor)).otherwise(F.col("idf")).alias("idf"))
     k1, b = lx.BM25_K1, lx.BM25_B
     tf, dl = F.col("tf"), F.col("dl")
     saturated = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl if avgdl else 1.0)))
-    weighted = postings.join(broadcast_if_small(terms, seen["terms"]), "term")
-    norm = F.sqrt(F.sum(F.when(~is_bm25, tf * F.col("idf") * tf * F.col("idf"))).over(Window.partitionBy("doc")))
-    weighted = weighted.select(
-        "term", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), "doc",
-        F.when(is_bm25, saturated).otherwise(tf * F.col("idf") / norm).alias("w"),
-    )
-    return TextIndex(materialize(weighted), terms, n, seen["terms"], bigrams, stop_words)
+    raw = postings.join(broadcast_if_small(terms, seen["terms"]), "term").select(
+        "doc", "term_id", is_bm25.alias("lexical"), F.when(is_bm25, saturated).otherwise(tf * F.col("idf")).alias("w"))
+    norms = raw.where("NOT lexical").groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighted = raw.join(broadcast_if_small(norms, n), "doc", "left").withColumn("w", F.when(F.col("lexical"), F.col("w")).otherwise(F.col("w") / F.col("norm")))
+    sizes = docs.select(F.col(doc).alias("doc")).groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+    return TextIndex(materialize(block_rows(weighted.withColumn("block", block))), terms, materialize(sizes), n, seen["terms"], bigrams, stop_words)
 
 
 def query_terms(queries: DataFrame, index: TextIndex, qid: str = "qid", text: str = "text") -> DataFrame:
@@ -99,19 +101,17 @@ def query_terms(queries: DataFrame, index: TextIndex, qid: str = "qid", text: st
     is_bm25 = F.col("term").startswith("b:")
     weight = F.col("m") * F.col("idf")
     norm = F.sqrt(F.sum(F.when(~is_bm25, weight * weight)).over(Window.partitionBy("qid")))
-    return known.select("qid", "term", "df", "idf", "salts", F.when(is_bm25, F.col("m")).otherwise(weight / norm).alias("qw"))
+    return known.select("qid", "term", "term_id", "df", "idf", F.when(is_bm25, F.col("m")).otherwise(weight / norm).alias("qw"))
 
 
 def score_terms(terms: DataFrame, index: TextIndex, *carry: str) -> DataFrame:
-    """Sum of products per (query, document) over shared terms: columns ``bm25`` and ``cosine``."""
-    salted = fan_out(terms, "qid").select("qid", "term", "qw", *carry, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    """Sum of products per (query, document) over shared terms, one row per pair: columns ``bm25`` and ``cosine``."""
     product = F.col("qw") * F.col("w")
-    is_bm25 = F.col("term").startswith("b:")
     return (
-        salted.join(index.postings, ["term", "salt"])
+        fan_out(terms, "qid").select("qid", "term_id", "qw", *carry).join(index.postings, "term_id")
         .groupBy("qid", "doc", *carry)
-        .agg(F.sum(F.when(is_bm25, product).otherwise(F.lit(0.0))).alias("bm25"),
-             F.sum(F.when(~is_bm25, product).otherwise(F.lit(0.0))).alias("cosine"))
+        .agg(F.sum(F.when(F.col("lexical"), product).otherwise(F.lit(0.0))).alias("bm25"),
+             F.sum(F.when(~F.col("lexical"), product).otherwise(F.lit(0.0))).alias("cosine"))
     )
 
 
@@ -125,6 +125,41 @@ def tfidf_join(queries: DataFrame, index: TextIndex) -> DataFrame:
     return score_terms(terms, index).select("qid", "doc", "cosine")
 
 
+@dataclass
+class Asked:
+    """Queries ready for block scoring."""
+
+    packed: DataFrame  # qid, term_ids, qws
+    bounds: DataFrame  # qid, block, most_b, most_c
+    n: int
+
+
+def ask(terms: DataFrame, index: TextIndex) -> Asked:
+    terms = materialize(terms.select("qid", "term_id", "qw"))
+    packed = terms.groupBy("qid").agg(F.collect_list(F.struct("term_id", "qw")).alias("t")).select("qid", F.col("t.term_id").alias("term_ids"), F.col("t.qw").alias("qws"))
+    packed = materialize(packed)
+    return Asked(packed, materialize(block_bounds(terms, index.blocks)), packed.count())
+
+
+def best_scored(asked: Asked, index: TextIndex, k: int, alpha=1.0, beta=1.0, per_query: DataFrame | None = None) -> DataFrame:
+    """Candidates for the best ``k`` by ``alpha * bm25 + beta * cosine``; the factors are numbers, or columns of ``per_query (qid, ...)``."""
+    packed = asked.packed if per_query is None else asked.packed.join(per_query, "qid", "left")
+    alpha, beta = (x if isinstance(x, Column) else F.lit(float(x)) for x in (alpha, beta))
+    return best_documents(packed.select("qid", "term_ids", "qws", alpha.alias("alpha"), beta.alias("beta")), asked.bounds, index.blocks, k, asked.n)
+
+
+def bm25_top(queries: DataFrame, index: TextIndex, k: int) -> DataFrame:
+    """``qid, doc, bm25, rank`` of the best ``k`` documents that share a term; equal to ranking ``bm25_join``, without making its pairs."""
+    asked = ask(query_terms(queries, index).where(F.col("term").startswith("b:")), index)
+    return top_k(best_scored(asked, index, k).select("qid", "doc", "bm25"), "bm25", k)
+
+
+def tfidf_top(queries: DataFrame, index: TextIndex, k: int) -> DataFrame:
+    """``qid, doc, cosine, rank`` of the best ``k`` documents that share a term; equal to ranking ``tfidf_join``, without making its pairs."""
+    asked = ask(query_terms(queries, index).where(F.col("term").startswith("t:")), index)
+    return top_k(best_scored(asked, index, k).select("qid", "doc", "cosine"), "cosine", k)
+
+
 def top_k(scored: DataFrame, by: str, k: int, group: str = "qid", tie: str = "doc") -> DataFrame:
     """Best ``k`` rows per group; equal scores (to 9 decimals) keep the lower id."""
     w = Window.partitionBy(group).orderBy(F.round(F.col(by), 9).desc(), F.col(tie))
@@ -142,80 +177,21 @@ def _hybrid(b, m, c, weights):
     return weights[0] * F.when(m > 0, b / (m + 1e-9)).otherwise(b) + weights[1] * c
 
 
-def _best_article(scored: DataFrame, weights) -> DataFrame:
-    """Top document per query by the normalised sum; both steps combine map-side."""
-    peak = scored.groupBy("qid").agg(F.max("bm25").alias("peak"))
-    ranked = scored.join(peak, "qid").withColumn("score", _hybrid(F.col("bm25"), F.col("peak"), F.col("cosine"), weights))
-    best = F.max(F.struct(F.round("score", 9).alias("key"), (-F.col("doc")).alias("neg"), "doc", "score", "bm25", "cosine", "peak")).alias("best")
-    return ranked.groupBy("qid").agg(best).select("qid", "best.doc", "best.score", "best.bm25", "best.cosine", "best.peak")
-
-
 def retrieve_articles(queries: DataFrame, index: TextIndex, qid: str = "qid", text: str = "text",
-                      weights=lx.ARTICLE_WEIGHTS, min_cosine: float = lx.ARTICLE_MIN_COSINE,
-                      hot_fraction: float = 0.10) -> DataFrame:
+                      weights=lx.ARTICLE_WEIGHTS, min_cosine: float = lx.ARTICLE_MIN_COSINE) -> DataFrame:
     """Best article per query, or no row when it fails the relevance gate.
 
-    Exact without scoring every pair: terms found in more than ``hot_fraction`` of the corpus do
-    not create candidates. Documents sharing a rarer term are scored on rare terms, pruned with
-    upper bounds for the frequent ones, and only the survivors are completed. A query whose
-    bounds do not rule out all other documents is scored in full.
+    Exact without scoring every pair. The best BM25 score of a query is found first; with it the hybrid score is one weighted sum over terms, so
+    its best document comes from a second reading of blocks.
     """
     distinct, members = representatives(queries, qid, text)
-    terms = query_terms(distinct, index)
-    is_bm25 = F.col("term").startswith("b:")
-    hot = (F.col("df") > hot_fraction * index.n_docs) & (F.col("idf") > 0)
-    per_query = Window.partitionBy("qid")
-    has_rare = F.max((~hot).cast("int")).over(per_query) == 1
-    terms = terms.withColumn("hot", hot & has_rare)
-    k1 = lx.BM25_K1
-    ub = F.coalesce(F.sum(F.when(F.col("hot") & is_bm25, F.col("qw") * F.col("idf") * (k1 + 1))).over(per_query), F.lit(0.0))
-    uc = F.sqrt(F.coalesce(F.sum(F.when(F.col("hot") & ~is_bm25, F.col("qw") * F.col("qw"))).over(per_query), F.lit(0.0)))
-    terms = materialize(terms.withColumns({"ub": ub, "uc": uc}))
-
-    partial = score_terms(terms.where("NOT hot"), index, "ub", "uc")
-    lead = partial.groupBy("qid").agg(
-        F.max("bm25").alias("m"),
-        F.max(F.struct("bm25", "cosine")).alias("by_b"),
-        F.max(F.struct("cosine", "bm25")).alias("by_c"),
-    )
-
-    def low(s):
-        return weights[0] * s["bm25"] / (F.col("m") + F.col("ub") + 1e-9) + weights[1] * s["cosine"]
-
-    upper = weights[0] * F.least(F.lit(1.0), (F.col("bm25") + F.col("ub")) / F.greatest(F.col("m"), F.lit(1e-12))) + weights[1] * F.least(
-        F.lit(1.0), F.col("cosine") + F.col("uc")
-    )
-    slack = 1e-6  # keeps float noise from pruning a tie
-    kept = materialize(
-        partial.join(lead, "qid")
-        .where((F.col("bm25") + F.col("ub") + slack >= F.col("m")) | (upper + slack >= F.greatest(low(F.col("by_b")), low(F.col("by_c")))))
-        .select("qid", "doc", "bm25", "cosine")
-    )
-    hot_terms = terms.where("hot").select("qid", "term", "qw", "salts")
-    product = F.col("qw") * F.col("w")
-    rest = (
-        kept.select("qid", "doc").join(hot_terms, "qid")
-        .withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
-        .join(index.postings, ["term", "salt", "doc"])
-        .select("qid", "doc", F.when(is_bm25, product).otherwise(0.0).alias("bm25"), F.when(~is_bm25, product).otherwise(0.0).alias("cosine"))
-    )
-    full = kept.unionByName(rest).groupBy("qid", "doc").agg(F.sum("bm25").alias("bm25"), F.sum("cosine").alias("cosine"))
-    best = _best_article(full, weights)
-    bounds = terms.groupBy("qid").agg(F.max("ub").alias("ub"), F.max("uc").alias("uc"))
-    checked = materialize(
-        bounds.join(best, "qid", "left").withColumn(
-            "safe",
-            ((F.col("ub") == 0) & (F.col("uc") == 0))
-            | F.coalesce(
-                (F.col("ub") < F.col("peak"))
-                & (weights[0] * F.col("ub") / F.col("peak") + weights[1] * F.col("uc") < F.col("score") - slack), F.lit(False)
-            ),
-        )
-    )
-    columns = ["qid", "doc", "score", "bm25", "cosine"]
-    unsafe = terms.join(checked.where("NOT safe").select("qid"), "qid", "left_semi")
-    redone = _best_article(score_terms(unsafe, index), weights)
-    answer = checked.where("safe AND doc IS NOT NULL").select(*columns).unionByName(redone.select(*columns))
+    asked = ask(query_terms(distinct, index), index)
+    peaks = materialize(best_scored(asked, index, 1, beta=0.0).groupBy("qid").agg(F.max("bm25").alias("peak")))
+    scale = weights[0] / F.when(F.col("peak") > 0, F.col("peak") + 1e-9).otherwise(1.0)
+    found = best_scored(asked, index, 1, scale, weights[1], peaks).drop("score")
+    ranked = found.join(peaks, "qid", "left").withColumn("score", _hybrid(F.col("bm25"), F.coalesce("peak", F.lit(0.0)), F.col("cosine"), weights))
+    best = F.max(F.struct(F.round("score", 9).alias("key"), (-F.col("doc")).alias("neg"), "doc", "score", "bm25", "cosine")).alias("best")
+    answer = ranked.groupBy("qid").agg(best).select("qid", "best.doc", "best.score", "best.bm25", "best.cosine")
     return (
         answer.where((F.col("cosine") >= min_cosine) & (F.col("bm25") > 0))
         .join(members, "qid")
@@ -234,27 +210,48 @@ def retrieve_catalog(queries: DataFrame, index: TextIndex, entries: DataFrame, k
     ``queries`` has ``qid`` and distinct ``text``; ``entries`` has ``doc``, ``seq`` and ``polarity``.
     Entries that share no term keep the implicit score 0 in the min-max range but are not pooled.
     """
-    scored = score_terms(query_terms(queries, index), index)
-    spread = scored.groupBy("qid").agg(
-        F.count("*").alias("hits"), *[f(c).alias(a) for c, lo, hi in (("bm25", "b_lo", "b_hi"), ("cosine", "c_lo", "c_hi")) for f, a in ((F.min, lo), (F.max, hi))]
-    )
-    all_hit = F.col("hits") >= index.n_docs
-    for lo, hi in (("b_lo", "b_hi"), ("c_lo", "c_hi")):
-        spread = spread.withColumn(lo, F.when(all_hit, F.col(lo)).otherwise(F.least(F.col(lo), F.lit(0.0))))
-        spread = spread.withColumn(hi, F.when(all_hit, F.col(hi)).otherwise(F.greatest(F.col(hi), F.lit(0.0))))
+    asked = ask(query_terms(queries, index), index)
+    ends = materialize(score_ends(asked, index))
+    size = max(3 * k, 10)
+    scale = lambda w, c: F.when(F.col(f"{c}_hi") - F.col(f"{c}_lo") < 1e-9, 0.0).otherwise(w / (F.col(f"{c}_hi") - F.col(f"{c}_lo")))
+    scored = best_scored(asked, index, size, scale(weights[0], "b"), scale(weights[1], "c"), ends).drop("score")
     combined = (
-        scored.join(spread, "qid")
+        scored.join(ends, "qid")
         .select("qid", "doc", F.col("cosine").alias("raw_cosine"),
                 minmax(F.col("bm25"), F.col("b_lo"), F.col("b_hi")).alias("bm25"),
                 minmax(F.col("cosine"), F.col("c_lo"), F.col("c_hi")).alias("dense"))
         .withColumn("score", weights[0] * F.col("bm25") + weights[1] * F.col("dense"))
     )
     pooled = combined.join(entries.select("doc", "seq", "polarity"), "doc")
-    pooled = top_k(pooled, "score", max(3 * k, 10), tie="seq").withColumnRenamed("rank", "pool_rank")
+    pooled = top_k(pooled, "score", size, tie="seq").withColumnRenamed("rank", "pool_rank")
     with_text = pooled.join(queries.select("qid", link_polarity("text").alias("wanted")), "qid")
     return promote_polarity(with_text, k, tie)
 
 
+def score_ends(asked: Asked, index: TextIndex) -> DataFrame:
+    """``qid, b_lo, b_hi, c_lo, c_hi``: range of both scores of each query over all documents; a document that shares no term scores 0.
+
+    The largest come from the best documents of either score. The least are 0 as soon as one document shares no term, which the number of postings in some block
+    shows; only a query whose terms might stand in all documents is scored in full.
+    """
+    high = best_scored(asked, index, 1, beta=0.0).groupBy("qid").agg(F.max("bm25").alias("b")).join(
+        best_scored(asked, index, 1, alpha=0.0).groupBy("qid").agg(F.max("cosine").alias("c")), "qid")
+    held = asked.packed.select("qid", F.explode("term_ids").alias("term_id")).join(index.blocks.select("term_id", "block", "low", F.size("docs").alias("held")), "term_id")
+    reach = held.groupBy("qid", "block").agg(F.sum("held").alias("held"), F.min("low").alias("low")).join(broadcast_if_small(index.sizes, 1 + index.n_docs // BLOCK_DOCS), "block")
+    full = reach.groupBy("qid").agg(F.sum(F.when(F.col("held") >= F.col("n"), F.col("n")).otherwise(0)).alias("n"), F.min("low").alias("low")).where(
+        (F.col("n") >= index.n_docs) | (F.col("low") < 0)).select("qid")
+    every = asked.packed.withColumn("alpha", F.lit(1.0)).withColumn("beta", F.lit(1.0))
+    pairs = asked.bounds.join(full, "qid", "left_semi").select("qid", "block", F.lit(0.0).alias("floor"))
+    whole = block_scores(pairs, every, index.blocks, None, asked.n).groupBy("qid").agg(
+        F.sum("n").alias("hits"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"))
+    zero = F.lit(0.0)
+    all_hit = F.col("hits") >= index.n_docs
+    ends = high.join(whole, "qid", "left")
+    low = lambda c: F.when(all_hit, F.col(f"{c}_lo")).otherwise(F.least(F.coalesce(f"{c}_lo", zero), zero))
+    top = lambda c: F.when(all_hit, F.col(f"{c}_hi")).otherwise(F.greatest(F.coalesce(f"{c}_hi", c), zero))
+    return ends.select("qid", low("b").alias("b_lo"), top("b").alias("b_hi"), low("c").alias("c_lo"), top("c").alias("c_hi"))
+
+
 def promote_polarity(pool: DataFrame, k: int, tie: float = lx.POLARITY_TIE) -> DataFrame:
     """Move the best entry of the wanted polarity to rank 1 when it ties with the top."""
     per_query = Window.partitionBy("qid")

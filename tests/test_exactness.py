@@ -122,3 +122,29 @@ def test_a_local_session_without_a_checkpoint_folder_gets_one_of_its_own(spark):
     df = spark.range(3)
     df.write.parquet(f"{first}/three")
     assert spark.read.parquet(f"{first}/three").count() == 3
+
+
+def test_row_ids_follow_files_and_bytes(spark, tmp_path):
+    from helpweave.sources import readers as rd
+
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    want = []
+    for name, n in (("f0.txt", 40), ("f1.txt", 3000), ("f2.txt", 5)):
+        lines = [f"{name} line {i} " + "x" * (i % 50) for i in range(n)]
+        (folder / name).write_text("\n".join(lines) + "\n")
+        want += lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("4096", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "100")
+            scan = spark.read.text(str(folder))
+            got = {r["row_id"]: r["value"] for r in rd.with_row_id(scan).collect()}
+            assert [got[i] for i in range(len(want))] == want
+            kept = rd.with_row_id(scan.where("value NOT LIKE '%line 7 %'"))
+            assert [r["value"] for r in kept.orderBy("row_id").collect()] == [w for w in want if "line 7 " not in w]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert rd.with_row_id(spark.range(0)).collect() == []

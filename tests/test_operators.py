@@ -86,10 +86,17 @@ def test_article_pruning_equals_full_scoring(spark):
     docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights=[60 - j for j in range(60)], k=rng.randint(5, 60)))) for i in range(120)], "doc_id long, text string")
     queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(1, 6)))) for i in range(40)] + [(90, "w0 w1"), (91, "zzz")], "qid long, text string")
     index = rt.build_index(docs)
-    for fraction in (0.05, 0.3):
-        pruned = {(r["qid"], r["doc"], round(r["score"], 8)) for r in rt.retrieve_articles(queries, index, hot_fraction=fraction).collect()}
-        full = {(r["qid"], r["doc"], round(r["score"], 8)) for r in rt.retrieve_articles(queries, index, hot_fraction=2.0).collect()}
-        assert pruned == full and len(full) > 30
+    pairs = {(r["qid"], r["doc"]): (r["bm25"], r["cosine"]) for r in rt.score_terms(rt.query_terms(queries, index), index).collect()}
+    full = set()
+    for q in {q for q, _ in pairs}:
+        mine = {d: v for (p, d), v in pairs.items() if p == q}
+        peak = max(b for b, _ in mine.values())
+        score = {d: 0.5 * (b / (peak + 1e-9) if peak > 0 else b) + 0.5 * c for d, (b, c) in mine.items()}
+        best = min(mine, key=lambda d: (-round(score[d], 9), d))
+        if mine[best][1] >= 0.14 and mine[best][0] > 0:
+            full.add((q, best, round(score[best], 8)))
+    pruned = {(r["qid"], r["doc"], round(r["score"], 8)) for r in rt.retrieve_articles(queries, index, min_cosine=0.14).collect()}
+    assert pruned == full and len(full) > 30
 
 
 def test_compound_matching(spark):
