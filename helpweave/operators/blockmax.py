@@ -25,7 +25,7 @@ from helpweave.session import materialize
 #: Documents of a block, on average.
 BLOCK_DOCS = 512
 #: Blocks of highest bound that give a query its threshold.
-FIRST_BLOCKS = 2
+FIRST_BLOCKS = 24
 #: Queries that meet a block in one task, and products of weights that are made at a time there.
 BATCH, PRODUCTS = 2048, 1 << 21
 SLACK = 1e-6
@@ -80,84 +80,151 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole.flatten().to_numpy(), np.r_[0, np.cumsum(whole.value_lengths().to_numpy())]
 
 
-def block_scores(asked: DataFrame, packed: DataFrame, blocks: DataFrame, k: int | None, queries: int) -> DataFrame:
-    """Scores of the pairs of query and block in ``asked (qid, block, floor)``: ``qid, doc, bm25, cosine, score``.
-
-    ``packed``: ``qid, term_ids, qws, alpha, beta``; the score is ``alpha * bm25 + beta * cosine``. Of each pair the best ``k`` documents (with ties) that reach ``floor`` are
-    returned; with ``k`` None one row of their number and least and largest sums: ``qid, n, b_lo, b_hi, c_lo, c_hi``.
+def _sums(ask: pa.Table, held: pa.Table):
+    """For slices of the queries of ``ask``: first and last query, and matrices by query and document of hits and of both sums; and the documents."""
+    order = np.argsort(held["term_id"].to_numpy(), kind="stable")
+    term = held["term_id"].to_numpy()[order]
+    lexical = held["lexical"].combine_chunks().to_numpy(zero_copy_only=False)[order]
+    (docs, at), (ws, _) = _flat(held["docs"]), _flat(held["ws"])
+    known, col = np.unique(docs, return_inverse=True)
+    start, size = at[:-1][order], np.diff(at)[order]
+    want, edge = _flat(ask["term_ids"])
+    qws = _flat(ask["qws"])[0]
+    row = np.minimum(np.searchsorted(term, want), len(term) - 1)
+    ok = term[row] == want
+    query, row, qw = np.repeat(np.arange(ask.num_rows), np.diff(edge))[ok], row[ok], qws[ok]
+    cost = np.cumsum(size[row])
+    i = 0
+    while i < len(row):
+        # whole queries, as many as make a bounded number of products
+        j = int(np.searchsorted(cost, (cost[i - 1] if i else 0) + PRODUCTS, "right"))
+        j = int(np.searchsorted(query, query[max(i, min(j, len(row) - 1))], "left")) if j < len(row) else len(row)
+        j = j if j > i else int(np.searchsorted(query, query[i], "right"))
+        q0, q1 = query[i], query[j - 1] + 1
+        n = size[row[i:j]]
+        stop = np.r_[0, np.cumsum(n)]
+        place = np.arange(stop[-1]) + np.repeat(start[row[i:j]] - stop[:-1], n)
+        cell = np.repeat((query[i:j] - q0) * len(known), n) + col[place]
+        product, lex = np.repeat(qw[i:j], n) * ws[place], np.repeat(lexical[row[i:j]], n)
+        shape, cells = (q1 - q0, len(known)), (q1 - q0) * len(known)
+        hit = np.bincount(cell, minlength=cells).reshape(shape) > 0
+        yield q0, q1, hit, np.bincount(cell, np.where(lex, product, 0.0), cells).reshape(shape), np.bincount(cell, np.where(lex, 0.0, product), cells).reshape(shape), known
+        i = j
+
+
+def _meet(asked: DataFrame, packed: DataFrame, blocks: DataFrame, queries: int, emit, columns: dict[str, str]) -> DataFrame:
+    """``emit(ask, q0, q1, hit, b, c, known)`` gives the columns of the rows that a task returns for some queries and one block; the first is the query's place in ``ask``.
+
+    ``asked``: ``qid, block`` and what ``emit`` reads; ``packed``: ``qid, term_ids, qws``. More than ``BATCH`` queries meet a block in several tasks.
     """
     batches = max(1, -(-queries // BATCH))
     batch = F.pmod(F.xxhash64("qid"), F.lit(batches)).cast("int")
-    left = asked.join(packed, "qid").withColumn("batch", batch).select("block", "batch", "qid", "term_ids", "qws", "alpha", "beta", "floor")
-    needed = asked.select(F.col("block").alias("read"), F.pmod(F.xxhash64("qid"), F.lit(batches)).cast("int").alias("batch")).distinct()
-    held = blocks.select(F.col("block").alias("own"), "term_id", "lexical", "docs", "ws")
+    left = asked.join(packed.select("qid", "term_ids", "qws"), "qid").withColumn("batch", batch)
+    needed = asked.select(F.col("block").alias("read"), batch.alias("batch")).distinct()
+    known = packed.select(F.explode("term_ids").alias("term_id")).distinct()
+    held = blocks.select(F.col("block").alias("own"), "term_id", "lexical", "docs", "ws").join(known, "term_id", "left_semi")
     right = held.join(needed, F.col("own") == F.col("read")).select(F.col("read").alias("block"), "batch", "term_id", "lexical", "docs", "ws")
-    qid, doc = dict(packed.dtypes)["qid"], dict(blocks.dtypes)["docs"][6:-1]
 
     def score(ask: pa.Table, held: pa.Table) -> pa.Table:
-        names = ["qid", "doc", "bm25", "cosine", "score"] if k else ["qid", "n", "b_lo", "b_hi", "c_lo", "c_hi"]
-        out = [[] for _ in names]
+        out = [[] for _ in columns]
         ids = ask["qid"].combine_chunks()
-        if len(ids) and held.num_rows:
-            order = np.argsort(held["term_id"].to_numpy(), kind="stable")
-            term = held["term_id"].to_numpy()[order]
-            lexical = held["lexical"].combine_chunks().to_numpy(zero_copy_only=False)[order]
-            (docs, at), (ws, _) = _flat(held["docs"]), _flat(held["ws"])
-            known, col = np.unique(docs, return_inverse=True)
-            start, size = at[:-1][order], np.diff(at)[order]
-            want, edge = _flat(ask["term_ids"])
-            qws = _flat(ask["qws"])[0]
-            row = np.minimum(np.searchsorted(term, want), len(term) - 1)
-            ok = term[row] == want
-            query, row, qw = np.repeat(np.arange(len(ids)), np.diff(edge))[ok], row[ok], qws[ok]
-            alpha, beta, floor = (ask[c].to_numpy() for c in ("alpha", "beta", "floor"))
-            cost = np.cumsum(size[row])
-            i = 0
-            while i < len(row):
-                # whole queries, as many as make a bounded number of products
-                j = int(np.searchsorted(cost, (cost[i - 1] if i else 0) + PRODUCTS, "right"))
-                j = int(np.searchsorted(query, query[max(i, min(j, len(row) - 1))], "left")) if j < len(row) else len(row)
-                j = j if j > i else int(np.searchsorted(query, query[i], "right"))
-                q0, q1 = query[i], query[j - 1] + 1
-                n = size[row[i:j]]
-                stop = np.r_[0, np.cumsum(n)]
-                place = np.arange(stop[-1]) + np.repeat(start[row[i:j]] - stop[:-1], n)
-                cell = np.repeat((query[i:j] - q0) * len(known), n) + col[place]
-                product, lex = np.repeat(qw[i:j], n) * ws[place], np.repeat(lexical[row[i:j]], n)
-                shape, cells = (q1 - q0, len(known)), (q1 - q0) * len(known)
-                hit = np.bincount(cell, minlength=cells).reshape(shape) > 0
-                b = np.bincount(cell, np.where(lex, product, 0.0), cells).reshape(shape)
-                c = np.bincount(cell, np.where(lex, 0.0, product), cells).reshape(shape)
-                if k:
-                    total = np.where(hit, alpha[q0:q1, None] * b + beta[q0:q1, None] * c, -np.inf)
-                    kth = np.partition(total, len(known) - k, axis=1)[:, len(known) - k] if k < len(known) else np.full(len(total), -np.inf)
-                    x, y = np.nonzero(hit & (total >= np.maximum(kth, floor[q0:q1])[:, None] - SLACK))
-                    for held_, v in zip(out, (x + q0, known[y], b[x, y], c[x, y], total[x, y])):
-                        held_.append(v)
-                else:
-                    x = np.flatnonzero(hit.any(axis=1))
-                    low, high = (lambda v: np.where(hit, v, np.inf).min(axis=1)[x]), (lambda v: np.where(hit, v, -np.inf).max(axis=1)[x])
-                    for held_, v in zip(out, (x + q0, hit.sum(axis=1)[x], low(b), high(b), low(c), high(c))):
-                        held_.append(v)
-                i = j
+        if ask.num_rows and held.num_rows:
+            for part in _sums(ask, held):
+                for kept, v in zip(out, emit(ask, *part)):
+                    kept.append(v)
         flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in out]
-        return pa.Table.from_arrays([ids.take(pa.array(flat[0].astype(np.int64))), *map(pa.array, flat[1:])], names=names).cast(pa.schema(
-            [pa.field("qid", ids.type), *[pa.field(c, held.schema.field("docs").type.value_type if c == "doc" else pa.int64() if c == "n" else pa.float64()) for c in names[1:]]]))
+        types = {"qid": ids.type, "doc": held.schema.field("docs").type.value_type, "n": pa.int64()}
+        made = pa.Table.from_arrays([ids.take(pa.array(flat[0].astype(np.int64))), *map(pa.array, flat[1:])], names=list(columns))
+        return made.cast(pa.schema([pa.field(c, types.get(c, pa.float64())) for c in columns]))
+
+    return left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInArrow(score, ", ".join(f"{c} {t}" for c, t in columns.items()))
+
+
+def _types(packed: DataFrame, blocks: DataFrame) -> dict[str, str]:
+    return {"qid": dict(packed.dtypes)["qid"], "doc": dict(blocks.dtypes)["docs"][6:-1], "bm25": "double", "cosine": "double"}
+
+
+def block_scores(asked: DataFrame, packed: DataFrame, blocks: DataFrame, k: int, queries: int) -> DataFrame:
+    """``qid, doc, bm25, cosine, score`` of the best ``k`` documents (with ties) of each pair in ``asked (qid, block, alpha, beta, floor)`` that reach ``floor``; the score is
+    ``alpha * bm25 + beta * cosine``."""
+
+    def emit(ask, q0, q1, hit, b, c, known):
+        alpha, beta, floor = (ask[x].to_numpy()[q0:q1, None] for x in ("alpha", "beta", "floor"))
+        total = np.where(hit, alpha * b + beta * c, -np.inf)
+        kth = np.partition(total, len(known) - k, axis=1)[:, len(known) - k, None] if k < len(known) else np.full((len(total), 1), -np.inf)
+        x, y = np.nonzero(hit & (total >= np.maximum(kth, floor) - SLACK))
+        return x + q0, known[y], b[x, y], c[x, y], total[x, y]
+
+    return _meet(asked, packed, blocks, queries, emit, _types(packed, blocks) | {"score": "double"})
+
+
+def block_ends(asked: DataFrame, packed: DataFrame, blocks: DataFrame, queries: int) -> DataFrame:
+    """``qid, n, b_lo, b_hi, c_lo, c_hi`` of each pair in ``asked (qid, block)``: documents that share a term, and their least and largest sums."""
+
+    def emit(ask, q0, q1, hit, b, c, known):
+        x = np.flatnonzero(hit.any(axis=1))
+        low, high = (lambda v: np.where(hit, v, np.inf).min(axis=1)[x]), (lambda v: np.where(hit, v, -np.inf).max(axis=1)[x])
+        return x + q0, hit.sum(axis=1)[x], low(b), high(b), low(c), high(c)
 
-    schema = f"qid {qid}, doc {doc}, bm25 double, cosine double, score double" if k else f"qid {qid}, n long, b_lo double, b_hi double, c_lo double, c_hi double"
-    return left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInArrow(score, schema)
+    return _meet(asked, packed, blocks, queries, emit, {"qid": dict(packed.dtypes)["qid"], "n": "long"} | dict.fromkeys(("b_lo", "b_hi", "c_lo", "c_hi"), "double"))
+
+
+def block_fronts(asked: DataFrame, packed: DataFrame, blocks: DataFrame, queries: int, weights: tuple[float, float]) -> DataFrame:
+    """``qid, doc, bm25, cosine`` of the documents of each pair in ``asked (qid, block, cap)`` that can be best by ``w0 * bm25 / peak + w1 * cosine`` for some peak
+    between the pair's best BM25 and ``cap``: those that no other document of the block surpasses in both."""
+    near, (w0, w1) = 1e-8, weights
+
+    def emit(ask, q0, q1, hit, b, c, known):
+        b, c = np.where(hit, b, -np.inf), np.where(hit, c, -np.inf)
+        order = np.lexsort((-c, -b), axis=1)
+        b, c = np.take_along_axis(b, order, 1), np.take_along_axis(c, order, 1)
+        far = np.maximum.accumulate(c, axis=1)
+        before = np.c_[np.full((len(c), 1), -np.inf), far[:, :-1]]
+        lead = np.maximum.accumulate(np.where(c > before, np.arange(c.shape[1]), 0), axis=1)  # who set the largest cosine so far
+        lead = np.c_[np.zeros((len(c), 1), np.int64), lead[:, :-1]]
+        with np.errstate(invalid="ignore"):
+            gain = w0 * (np.take_along_axis(b, lead, 1) - b) / np.maximum(ask["cap"].to_numpy()[q0:q1, None], 1e-9)
+        x, y = np.nonzero((c > before + near) | ((c >= before - near) & (gain <= w1 * near + 2e-9) & np.isfinite(b)))
+        return x + q0, known[order[x, y]], b[x, y], c[x, y]
+
+    return _meet(asked, packed, blocks, queries, emit, _types(packed, blocks))
+
+
+def _placed(bounds: DataFrame, most) -> DataFrame:
+    """Bounds with the place of each block among those of its query, the highest first."""
+    return materialize(bounds.withColumn("most", most).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("most"), "block"))))
 
 
 def best_documents(packed: DataFrame, bounds: DataFrame, blocks: DataFrame, k: int, queries: int) -> DataFrame:
     """``qid, doc, bm25, cosine, score`` of the documents that can be among the best ``k`` of each query by ``alpha * bm25 + beta * cosine`` (neither negative).
 
-    The true best ``k``, with all ties, are among the rows; the caller ranks them. ``bounds`` come from ``block_bounds``.
+    The true best ``k``, with all ties, are among the rows; the caller ranks them. ``packed``: ``qid, term_ids, qws, alpha, beta``; ``bounds`` come from ``block_bounds``.
     """
-    asked = bounds.join(packed.select("qid", "alpha", "beta"), "qid").select("qid", "block", (F.col("alpha") * F.col("most_b") + F.col("beta") * F.col("most_c")).alias("most"))
-    placed = materialize(asked.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("most"), "block"))))
+    placed = _placed(bounds.join(packed.select("qid", "alpha", "beta"), "qid"), F.col("alpha") * F.col("most_b") + F.col("beta") * F.col("most_c"))
     lowest = F.lit(float("-inf"))
-    first = materialize(block_scores(placed.where(F.col("place") <= FIRST_BLOCKS).withColumn("floor", lowest), packed, blocks, k, queries))
+    ask = ["qid", "block", "alpha", "beta", "floor"]
+    first = materialize(block_scores(placed.where(F.col("place") <= FIRST_BLOCKS).withColumn("floor", lowest).select(*ask), packed, blocks, k, queries))
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"))))
     floors = ranked.where(F.col("r") == k).select("qid", F.col("score").alias("floor"))
     more = placed.where(F.col("place") > FIRST_BLOCKS).join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", lowest)).where(F.col("most") >= F.col("floor") - SLACK)
-    return first.unionByName(block_scores(more, packed, blocks, k, queries))
+    if more.isEmpty():
+        return first
+    return first.unionByName(block_scores(more.select(*ask), packed, blocks, k, queries))
+
+
+def best_fronts(packed: DataFrame, bounds: DataFrame, blocks: DataFrame, queries: int, weights: tuple[float, float]) -> DataFrame:
+    """``qid, doc, bm25, cosine`` with the document of largest BM25 of each query, and the best by ``w0 * bm25 / (largest BM25) + w1 * cosine`` with all ties.
+
+    A block is read after the first ones if it may hold a larger BM25, or a document that beats the best one seen whatever the largest BM25 turns out to be.
+    """
+    w0, w1 = weights
+    tops = bounds.groupBy("qid").agg((F.max("most_b") + 1e-9).alias("cap"))
+    placed = _placed(bounds.join(tops, "qid"), w0 * F.col("most_b") / F.greatest("cap", F.lit(1e-9)) + w1 * F.col("most_c"))
+    first = materialize(block_fronts(placed.where(F.col("place") <= FIRST_BLOCKS).select("qid", "block", "cap"), packed, blocks, queries, weights))
+    sure = first.join(tops, "qid").groupBy("qid").agg(F.max("bm25").alias("seen"), F.max(w0 * F.col("bm25") / F.col("cap") + w1 * F.col("cosine")).alias("floor"))
+    may = w0 * F.when(F.col("seen") > 0, F.least(F.lit(1.0), F.col("most_b") / F.col("seen"))).otherwise(F.lit(float("inf"))) + w1 * F.col("most_c")
+    more = placed.where(F.col("place") > FIRST_BLOCKS).join(sure, "qid", "left").where(
+        F.col("seen").isNull() | (F.col("most_b") >= F.col("seen") - SLACK) | (may >= F.col("floor") - SLACK))
+    if more.isEmpty():
+        return first
+    return first.unionByName(block_fronts(more.select("qid", "block", "cap"), packed, blocks, queries, weights))

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from helpweave import lexicons as lx
 from helpweave.functions.intent import link_polarity
 from helpweave.functions.text import one_of, retrieval_tokens, tfidf_tokens, words_of
-from helpweave.operators.blockmax import BLOCK_DOCS, best_documents, block_bounds, block_rows, block_scores
+from helpweave.operators.blockmax import BLOCK_DOCS, best_documents, best_fronts, block_bounds, block_ends, block_rows
 from helpweave.session import broadcast_if_small, fan_out, materialize, spread
 
 
@@ -181,15 +181,14 @@ def retrieve_articles(queries: DataFrame, index: TextIndex, qid: str = "qid", te
                       weights=lx.ARTICLE_WEIGHTS, min_cosine: float = lx.ARTICLE_MIN_COSINE) -> DataFrame:
     """Best article per query, or no row when it fails the relevance gate.
 
-    Exact without scoring every pair. The best BM25 score of a query is found first; with it the hybrid score is one weighted sum over terms, so
-    its best document comes from a second reading of blocks.
+    Exact without scoring every pair: blocks are read in the order of their bounds, and each returns the documents that no other of it surpasses in both scores. The
+    best BM25 score and the best article are among them.
     """
     distinct, members = representatives(queries, qid, text)
     asked = ask(query_terms(distinct, index), index)
-    peaks = materialize(best_scored(asked, index, 1, beta=0.0).groupBy("qid").agg(F.max("bm25").alias("peak")))
-    scale = weights[0] / F.when(F.col("peak") > 0, F.col("peak") + 1e-9).otherwise(1.0)
-    found = best_scored(asked, index, 1, scale, weights[1], peaks).drop("score")
-    ranked = found.join(peaks, "qid", "left").withColumn("score", _hybrid(F.col("bm25"), F.coalesce("peak", F.lit(0.0)), F.col("cosine"), weights))
+    found = materialize(best_fronts(asked.packed, asked.bounds, index.blocks, asked.n, weights))
+    peaks = found.groupBy("qid").agg(F.max("bm25").alias("peak"))
+    ranked = found.join(peaks, "qid").withColumn("score", _hybrid(F.col("bm25"), F.col("peak"), F.col("cosine"), weights))
     best = F.max(F.struct(F.round("score", 9).alias("key"), (-F.col("doc")).alias("neg"), "doc", "score", "bm25", "cosine")).alias("best")
     answer = ranked.groupBy("qid").agg(best).select("qid", "best.doc", "best.score", "best.bm25", "best.cosine")
     return (
@@ -240,9 +239,8 @@ def score_ends(asked: Asked, index: TextIndex) -> DataFrame:
     reach = held.groupBy("qid", "block").agg(F.sum("held").alias("held"), F.min("low").alias("low")).join(broadcast_if_small(index.sizes, 1 + index.n_docs // BLOCK_DOCS), "block")
     full = reach.groupBy("qid").agg(F.sum(F.when(F.col("held") >= F.col("n"), F.col("n")).otherwise(0)).alias("n"), F.min("low").alias("low")).where(
         (F.col("n") >= index.n_docs) | (F.col("low") < 0)).select("qid")
-    every = asked.packed.withColumn("alpha", F.lit(1.0)).withColumn("beta", F.lit(1.0))
-    pairs = asked.bounds.join(full, "qid", "left_semi").select("qid", "block", F.lit(0.0).alias("floor"))
-    whole = block_scores(pairs, every, index.blocks, None, asked.n).groupBy("qid").agg(
+    pairs = asked.bounds.join(full, "qid", "left_semi").select("qid", "block")
+    whole = block_ends(pairs, asked.packed, index.blocks, asked.n).groupBy("qid").agg(
         F.sum("n").alias("hits"), F.min("b_lo").alias("b_lo"), F.max("b_hi").alias("b_hi"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"))
     zero = F.lit(0.0)
     all_hit = F.col("hits") >= index.n_docs

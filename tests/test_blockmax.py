@@ -39,6 +39,7 @@ def sized(spark):
 def test_blocks_give_the_ranking_of_full_scoring(spark, sized, n, k, monkeypatch):
     monkeypatch.setattr(bm, "BATCH", 17)
     monkeypatch.setattr(bm, "PRODUCTS", 500)
+    monkeypatch.setattr(bm, "FIRST_BLOCKS", 2)
     index, queries = sized[n]
     for top, full, name in ((rt.bm25_top, rt.bm25_join, "bm25"), (rt.tfidf_top, rt.tfidf_join, "cosine")):
         got = {(r["qid"], r["rank"], r["doc"], round(r[name], 7)) for r in top(queries, index, k).collect()}
@@ -46,6 +47,22 @@ def test_blocks_give_the_ranking_of_full_scoring(spark, sized, n, k, monkeypatch
         assert got == want and len(got) >= 44 * min(k, 3)
 
 
+@pytest.mark.parametrize("n", [300, 4800])
+def test_articles_equal_full_scoring(spark, sized, n, monkeypatch):
+    monkeypatch.setattr(bm, "FIRST_BLOCKS", 2)
+    index, queries = sized[n]
+    got = {r["qid"]: (r["doc"], round(r["score"], 7), round(r["bm25"], 7)) for r in rt.retrieve_articles(queries, index, min_cosine=0.0).collect()}
+    pairs = {}
+    for r in rt.score_terms(rt.query_terms(queries, index), index).collect():
+        pairs.setdefault(r["qid"], []).append((r["doc"], r["bm25"], r["cosine"]))
+    want = {}
+    for q, mine in pairs.items():
+        peak = max(b for _, b, _ in mine)
+        doc, b, c = min(mine, key=lambda m: (-round(0.5 * m[1] / (peak + 1e-9) + 0.5 * m[2], 9), m[0]))
+        want[q] = doc, round(0.5 * b / (peak + 1e-9) + 0.5 * c, 7), round(b, 7)
+    assert got == want and len(got) >= 44
+
+
 def test_reads_grow_slower_than_the_corpus(spark, sized):
     read, total = {}, {}
     for n, (index, queries) in sized.items():
@@ -53,7 +70,7 @@ def test_reads_grow_slower_than_the_corpus(spark, sized):
         found = rt.best_scored(asked, index, 1)
         floors = found.groupBy("qid").agg(F.max("score").alias("best"))
         bounds = asked.bounds.withColumn("most", F.col("most_b") + F.col("most_c"))
-        read[n] = bounds.join(floors, "qid").where("most >= best").count() + bm.FIRST_BLOCKS * 40
+        read[n] = bounds.join(floors, "qid").where("most >= best").count() + 2 * 40
         total[n] = bounds.count()
     print("blocks read", read, "of", total)
     assert read[4800] / read[300] < 0.5 * total[4800] / total[300]
