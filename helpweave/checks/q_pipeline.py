@@ -15,6 +15,7 @@ from helpweave.plans.answer import Knowledge, answer
 from helpweave.session import checkpoint_dir, table
 from helpweave.sources import readers as rd, store as st
 from helpweave.sources.fixtures import derived
+from helpweave.sources.planlog import PlanLog
 from helpweave.streaming import jobs
 
 
@@ -182,7 +183,7 @@ def t1(spark, sf):
 def t2(spark, sf):
     out = scratch(spark, "store")
     jobs.run_available(event_stream(spark, sf).withColumn("seq", F.col("complaint_id")), "append", jobs.stream_write_back(spark, out), scratch(spark, "cp"))
-    return st.read_store(spark, out).select("query_hash", "seq")
+    return PlanLog(spark, out, first_stays=True).read().select("query_hash", "seq")
 
 
 @query("t3_access_counters", with_tables("SELECT sha256(normalized) AS query_hash, count(*) AS hits, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM complaints JOIN sig USING (query) GROUP BY normalized", "complaints", extra=BASE))

@@ -11,6 +11,7 @@ from helpweave.functions import intent
 from helpweave.functions.text import normalize_query, query_hash
 from helpweave.operators.similarity import match_cached
 from helpweave.sources import store as st
+from helpweave.sources.planlog import PlanLog
 
 
 # --- stream transformations (they also run on a batch table) -----------------------------
@@ -70,17 +71,15 @@ def stream_answers(store: DataFrame, folder: str, threshold: float | None = None
     return answer
 
 
-def stream_write_back(spark: SparkSession, folder: str, first_version: int = 0) -> Callable[[DataFrame, int], None]:
-    """Batch function: add newly answered complaints to the store.
+def stream_write_back(spark: SparkSession, folder: str, compact_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """Batch function: add newly answered complaints to the plan log in ``folder``; the first answer of a query stays.
 
-    Batch n writes version ``first_version + n`` from the version before it, so a repeated batch
-    rewrites its own version instead of adding to itself.
+    A batch writes its own rows and nothing else; a repeated batch is left out. Every ``compact_every`` batches the buckets with many pieces are compacted.
     """
+    log = PlanLog(spark, folder, first_stays=True)
+
     def write(df: DataFrame, batch: int) -> None:
-        version = first_version + batch
-        new = st.make_store(df.select("seq", "query"))
-        if version > 0:
-            old = spark.read.parquet(f"{folder}/version={version - 1:010d}")
-            new = old.unionByName(new.join(old.select("query_hash"), "query_hash", "left_anti"))
-        st.write_version(new, folder, version)
+        log.append(st.make_store(df.select("seq", "query")), batch)
+        if (batch + 1) % compact_every == 0:
+            log.compact()
     return write
