@@ -40,6 +40,8 @@ def test_variant_prefix_filter_is_lossless(spark):
     v = make_complaints(spark, 60, 3).select((F.col("complaint_id") % 20).alias("plan_id"), F.col("complaint_id").alias("seq"), F.col("query").alias("text"))
     vocab = spark.createDataFrame([("camera",), ("battery",)], "term string")
     got = {(r["complaint_id"], r["seq"], round(r["similarity"], 6)) for r in sim.match_by_variant(c, v, vocab).collect()}
+    cut = {(r["complaint_id"], r["seq"], round(r["similarity"], 6)) for r in sim.match_by_variant(c, v, vocab, rows=5).collect()}
+    assert cut == got
     from helpweave.functions import intent
 
     idf = {r["term"]: r["idf"] for r in sim.plan_idf(v)[0].collect()}
@@ -221,3 +223,21 @@ def test_custom_embedding(spark):
     c = spark.createDataFrame([(5, "battery is empty"), (6, "photo looks odd")], "complaint_id long, query string")
     got = {r["complaint_id"]: r["seq"] for r in sim.match_semantic(c, store, gated=False, embed=embed).collect()}
     assert got == {5: 0, 6: 1}
+
+
+def test_word_products_equal_sums_over_words(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(sim, "WORD_COLUMNS", 3)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(15)]
+    side = lambda n: [sorted(rng.sample(words, rng.randint(0, 6))) for _ in range(n)]
+    a, b = side(9), side(12)
+    wa, wb = ([[rng.random() for _ in x] for x in s] for s in (a, b))
+    got = sim._lexical_matrix(pd.Series(a), pd.Series(wa), pd.Series(b), pd.Series(wb))
+    want = [[sum(u * v for t, u in zip(x, p) for r, v in zip(y, q) if t == r) for y, q in zip(b, wb)] for x, p in zip(a, wa)]
+    assert np.allclose(got, want)
+    clash = sim._features_clash(pd.Series(a), pd.Series(b))
+    assert (clash == [[bool(set(x) - set(y)) and bool(set(y) - set(x)) for y in b] for x in a]).all()
+    assert sim._lexical_matrix(pd.Series([[], []]), pd.Series([[], []]), pd.Series([["x"]]), pd.Series([[1.0]])).tolist() == [[0.0], [0.0]]
