@@ -105,7 +105,26 @@ def _screens(spark, sf):
 )
 def x3(spark, sf):
     found, _ = _screens(spark, sf)
-    return found.withColumns({c: F.round(c, 6) for c in ("score", "raw_cosine")})
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "raw_cosine")}).drop("anchored", "page_doc", "leaf_doc")
+
+
+def _choice(column: str, alias: str) -> str:
+    return with_tables(f"SELECT (SELECT min(group_id) FROM grp WHERE grp.text = pk.text) AS qid, {column} AS {alias} FROM pk", "catalog", "step_groups", extra=_SCREEN)
+
+
+@query("e13_filter_distrust", _choice("anchored", "anchored"))
+def e13(spark, sf):
+    return _screens(spark, sf)[0].select("qid", "anchored")
+
+
+@query("w4_polarity_leaf", _choice("lf", "leaf_doc"))
+def w4(spark, sf):
+    return _screens(spark, sf)[0].select("qid", "leaf_doc")
+
+
+@query("w5_best_page", _choice("pg", "page_doc"))
+def w5(spark, sf):
+    return _screens(spark, sf)[0].select("qid", "page_doc")
 
 
 _BIND = f"""{_SCREEN}, b0 AS (SELECT g.*, s.id, s.deeplink, s.message, coalesce(s.raw, 0) AS raw, s.crumb, s.mentions, s.doc, {_minus(q.stems("coalesce(s.message, '')"), _LEAF)} AS lab,

@@ -101,8 +101,9 @@ def leaf_named(own_message, own_description, words) -> Column:
 def resolve_screens(groups: DataFrame, index: TextIndex, entries: DataFrame, pool_size: int = lx.SCREEN_POOL) -> DataFrame:
     """One screen per distinct step list (``qid, steps``).
 
-    Returns ``qid, doc, is_page, guard, breadcrumb, score, raw_cosine, on_path_value`` for groups
-    with at least one candidate. All ranking happens inside the bounded pool of a group.
+    Returns ``qid, doc, is_page, guard, breadcrumb, score, raw_cosine, path_value`` for groups
+    with at least one candidate, and what led to the choice: ``anchored`` (the breadcrumb filter is trusted), ``page_doc``
+    and ``leaf_doc`` (best page and best leaf). All ranking happens inside the bounded pool of a group.
     """
     g = materialize(groups.select(
         "qid", F.array_join("steps", " ").alias("text"), navigation_labels("steps").alias("labels"), action_steps("steps").alias("acts")
@@ -162,12 +163,12 @@ def resolve_screens(groups: DataFrame, index: TextIndex, entries: DataFrame, poo
     picked = picked.withColumns({"guard": guard, "choice": choice})
     get = lambda f: tx.first_case([(F.col("choice") == c, F.col(f"{c}.{f}")) for c in ("page", "leaf")], F.col(f"head.{f}"))
     out = picked.select(
-        "qid", get("doc").alias("doc"), "breadcrumb", "guard", get("score").alias("score"), get("raw_cosine").alias("raw_cosine"),
+        "qid", get("doc").alias("doc"), "breadcrumb", "guard", "anchored", F.col("page.doc").alias("page_doc"), F.col("leaf.doc").alias("leaf_doc"), get("score").alias("score"), get("raw_cosine").alias("raw_cosine"),
         get("mentions").alias("mentions"), get("originalType").alias("_type"),
     )
     return out.select(
         "qid", "doc", F.coalesce(F.col("_type") == "onClickURL", F.lit(False)).alias("is_page"), "guard", "breadcrumb", "score", "raw_cosine",
-        path_alignment(F.col("breadcrumb"), F.col("mentions")).alias("path_value"),
+        path_alignment(F.col("breadcrumb"), F.col("mentions")).alias("path_value"), "anchored", "page_doc", "leaf_doc",
     )
 
 
@@ -197,7 +198,7 @@ def bind_links(groups: DataFrame, index: TextIndex, entries: DataFrame, threshol
     linkable = groups.where("coalesce(category, 'manual') <> 'manual'")
     lists = linkable.withColumn("steps_key", F.array_join("steps", "\u0001")).groupBy("steps_key").agg(
         F.first("steps").alias("steps")).withColumn("qid", F.md5("steps_key"))
-    screens = lists.select("steps_key", "qid").join(resolve_screens(lists.select("qid", "steps"), index, entries), "qid").drop("qid", "score")
+    screens = lists.select("steps_key", "qid").join(resolve_screens(lists.select("qid", "steps"), index, entries), "qid").drop("qid", "score", "anchored", "page_doc", "leaf_doc")
     # manual groups never meet the screens: they would all share one (null) key
     df = linkable.withColumn("steps_key", F.array_join("steps", "\u0001"))
     known = [*ENTRY[1:], "message_stems", *[c for c in entries.columns if c.startswith("v_")]]
