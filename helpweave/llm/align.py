@@ -46,7 +46,9 @@ def units(text: str) -> list[str]:
         if part and not part[-1].isspace():
             out.append(" ".join(held) if len(held) > 1 else part)
             held = []
-    if held:
+    if held == [""] and out:
+        out[-1] += " "  # B gives nothing for a space alone
+    elif held:
         out.append(" ".join(held))
     return out
 

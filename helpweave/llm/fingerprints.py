@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from helpweave.llm.graph import components
 from helpweave.llm.labelled import code_values
-from helpweave.llm.textnum import chunks, mix, prefix_sums, rolling_hash
+from helpweave.llm.textnum import chunks, fresh, mix, prefix_sums, rolling_hash
 from helpweave.session import materialize
 
 SLOTS = 64
@@ -191,7 +191,7 @@ def fingerprint(documents: DataFrame, column: str = "text", into: str = "fingerp
     through (one named like ``into`` is replaced); an empty table stays empty. Memory grows with the longest text, about 60 bytes a character.
     """
     rest = [f for f in documents.schema.fields if f.name != into]
-    given = documents.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{column}`").cast("binary").alias("_walked"))
+    given = documents.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{column}`").cast("binary").alias(fresh("_walked", [f.name for f in rest])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helpweave.llm.textnum import chunks
+from helpweave.llm.textnum import chunks, fresh
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Per cent of the documents that are cut, and of those the per cent in suffix-first order.
@@ -80,7 +80,8 @@ def fill_in_middle(documents: DataFrame, key: str = "doc_id", text: str = "text"
     names = [f.name for f in made]
     rest = [f for f in documents.schema.fields if f.name not in (text, *names)]
     draw = F.array(*draws(F.col(f"`{key}`"), seed))
-    given = documents.select(*[F.col(f"`{f.name}`") for f in rest], draw.alias("_draw"), F.col(f"`{text}`").cast("binary").alias("_text"))
+    kept = [f.name for f in rest]
+    given = documents.select(*[F.col(f"`{n}`") for n in kept], draw.alias(fresh("_draw", kept)), F.col(f"`{text}`").cast("binary").alias(fresh("_text", kept)))
     marks = [m.encode() for m in (PREFIX, SUFFIX, MIDDLE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

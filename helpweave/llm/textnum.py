@@ -82,6 +82,14 @@ def chunks(column: pa.Array, limit: int = CHUNK):
         i = j
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, with marks in front if a column is called so."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 class Words:
     """Words of a chunk: byte spans, hashes and the word bounds of every document."""
 
