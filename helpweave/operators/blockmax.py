@@ -171,7 +171,7 @@ def block_ends(asked: DataFrame, packed: DataFrame, blocks: DataFrame, queries:
 
 def block_fronts(asked: DataFrame, packed: DataFrame, blocks: DataFrame, queries: int, weights: tuple[float, float]) -> DataFrame:
     """``qid, doc, bm25, cosine`` of the documents of each pair in ``asked (qid, block, cap)`` that can be best by ``w0 * bm25 / peak + w1 * cosine`` for some peak
-    between the pair's best BM25 and ``cap``: those that no other document of the block surpasses in both."""
+    between the pair's best BM25 and ``cap``: those that no other document of the block surpasses in both. Documents of the largest cosine are always among them."""
     near, (w0, w1) = 1e-8, weights
 
     def emit(ask, q0, q1, hit, b, c, known):
@@ -184,7 +184,8 @@ def block_fronts(asked: DataFrame, packed: DataFrame, blocks: DataFrame, queries
         lead = np.c_[np.zeros((len(c), 1), np.int64), lead[:, :-1]]
         with np.errstate(invalid="ignore"):
             gain = w0 * (np.take_along_axis(b, lead, 1) - b) / np.maximum(ask["cap"].to_numpy()[q0:q1, None], 1e-9)
-        x, y = np.nonzero((c > before + near) | ((c >= before - near) & (gain <= w1 * near + 2e-9) & np.isfinite(b)))
+        kept = (c > before + near) | ((c >= before - near) & (gain <= w1 * near + 2e-9)) | (c == far[:, -1:])
+        x, y = np.nonzero(kept & np.isfinite(b))
         return x + q0, known[order[x, y]], b[x, y], c[x, y]
 
     return _meet(asked, packed, blocks, queries, emit, _types(packed, blocks))
@@ -212,19 +213,20 @@ def best_documents(packed: DataFrame, bounds: DataFrame, blocks: DataFrame, k: i
     return first.unionByName(block_scores(more.select(*ask), packed, blocks, k, queries))
 
 
-def best_fronts(packed: DataFrame, bounds: DataFrame, blocks: DataFrame, queries: int, weights: tuple[float, float]) -> DataFrame:
+def best_fronts(packed: DataFrame, bounds: DataFrame, blocks: DataFrame, queries: int, weights: tuple[float, float], ends: bool = False) -> DataFrame:
     """``qid, doc, bm25, cosine`` with the document of largest BM25 of each query, and the best by ``w0 * bm25 / (largest BM25) + w1 * cosine`` with all ties.
 
-    A block is read after the first ones if it may hold a larger BM25, or a document that beats the best one seen whatever the largest BM25 turns out to be.
+    A block is read after the first ones if it may hold a larger BM25, or a document that beats the best one seen whatever the largest BM25 turns out to be; with
+    ``ends`` also if it may hold a larger cosine, so that the largest of both are there.
     """
     w0, w1 = weights
     tops = bounds.groupBy("qid").agg((F.max("most_b") + 1e-9).alias("cap"))
     placed = _placed(bounds.join(tops, "qid"), w0 * F.col("most_b") / F.greatest("cap", F.lit(1e-9)) + w1 * F.col("most_c"))
     first = materialize(block_fronts(placed.where(F.col("place") <= FIRST_BLOCKS).select("qid", "block", "cap"), packed, blocks, queries, weights))
-    sure = first.join(tops, "qid").groupBy("qid").agg(F.max("bm25").alias("seen"), F.max(w0 * F.col("bm25") / F.col("cap") + w1 * F.col("cosine")).alias("floor"))
+    sure = first.join(tops, "qid").groupBy("qid").agg(F.max("bm25").alias("seen"), F.max("cosine").alias("seen_c"), F.max(w0 * F.col("bm25") / F.col("cap") + w1 * F.col("cosine")).alias("floor"))
     may = w0 * F.when(F.col("seen") > 0, F.least(F.lit(1.0), F.col("most_b") / F.col("seen"))).otherwise(F.lit(float("inf"))) + w1 * F.col("most_c")
     more = placed.where(F.col("place") > FIRST_BLOCKS).join(sure, "qid", "left").where(
-        F.col("seen").isNull() | (F.col("most_b") >= F.col("seen") - SLACK) | (may >= F.col("floor") - SLACK))
+        F.col("seen").isNull() | (F.col("most_b") >= F.col("seen") - SLACK) | (may >= F.col("floor") - SLACK) | (F.lit(ends) & (F.col("most_c") >= F.col("seen_c") - SLACK)))
     if more.isEmpty():
         return first
     return first.unionByName(block_fronts(more.select("qid", "block", "cap"), packed, blocks, queries, weights))

@@ -233,8 +233,8 @@ def score_ends(asked: Asked, index: TextIndex) -> DataFrame:
     The largest come from the best documents of either score. The least are 0 as soon as one document shares no term, which the number of postings in some block
     shows; only a query whose terms might stand in all documents is scored in full.
     """
-    high = best_scored(asked, index, 1, beta=0.0).groupBy("qid").agg(F.max("bm25").alias("b")).join(
-        best_scored(asked, index, 1, alpha=0.0).groupBy("qid").agg(F.max("cosine").alias("c")), "qid")
+    fronts = best_fronts(asked.packed, asked.bounds, index.blocks, asked.n, (1.0, 1.0), ends=True)
+    high = fronts.groupBy("qid").agg(F.max("bm25").alias("b"), F.max("cosine").alias("c"))
     held = asked.packed.select("qid", F.explode("term_ids").alias("term_id")).join(index.blocks.select("term_id", "block", "low", F.size("docs").alias("held")), "term_id")
     reach = held.groupBy("qid", "block").agg(F.sum("held").alias("held"), F.min("low").alias("low")).join(broadcast_if_small(index.sizes, 1 + index.n_docs // BLOCK_DOCS), "block")
     full = reach.groupBy("qid").agg(F.sum(F.when(F.col("held") >= F.col("n"), F.col("n")).otherwise(0)).alias("n"), F.min("low").alias("low")).where(

@@ -86,7 +86,9 @@ def test_blocks_hold_each_posting_once(spark, sized):
     assert index.sizes.agg(F.sum("n")).first()[0] == 1200
 
 
-def test_ends_equal_those_of_full_scoring(spark):
+def test_ends_equal_those_of_full_scoring(spark, monkeypatch):
+    monkeypatch.setattr(rt, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(bm, "FIRST_BLOCKS", 1)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]
     docs = spark.createDataFrame([(i, " ".join(["all", *rng.choices(words, k=4)])) for i in range(90)], "doc_id long, text string")
