@@ -46,3 +46,24 @@ def test_grounding_an_article_that_has_most_steps(spark):
     dealt = ground.ground_steps(steps, articles, part_steps=50).select(*shape)
     assert whole.exceptAll(dealt).count() == 0 and dealt.exceptAll(whole).count() == 0
     assert dealt.where("overlap > 0").count() > 500
+
+
+def made_wide(df):
+    """Broadcasts that were not asked for."""
+    plan = df._jdf.queryExecution()
+    return plan.executedPlan().toString().count("BroadcastHashJoin") - plan.optimizedPlan().toString().count("strategy=broadcast")
+
+
+def test_texts_made_from_a_small_file_are_not_broadcast(spark, tmp_path):
+    spark.range(2000).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids"))
+    articles = ids.select(F.col("id").alias("article_id"), F.repeat(F.lit("Tap Display, then tap Battery. "), 40).alias("text"))
+    steps = ids.select(F.col("id").alias("plan_id"), F.col("id").alias("article_id"), F.lit(0).alias("action_pos"), F.lit("Act").alias("action_name"), F.lit(0).alias("group_pos"),
+                       F.lit(0).alias("step_pos"), F.lit("Tap Battery.").alias("step"), F.lit("auto").alias("category"))
+    kept, coverage, _ = ground.filter_grounded(steps, articles)
+    # those that are left hold one row per article of many steps
+    found = ground.ground_steps(steps, articles)
+    assert made_wide(found) == made_wide(kept) == made_wide(coverage) == 0
+    heads = articles.select("article_id", F.lit(0).alias("heading_pos"), F.lit("Display Battery").alias("heading"))
+    assert made_wide(ev.step_accuracy(steps, articles, heads)) == 0
+    assert coverage.where("coverage = 1").count() == 2000
