@@ -155,24 +155,24 @@ def step_accuracy(steps: DataFrame, articles: DataFrame, headings: DataFrame) ->
 
     ``steps``: plan_id, article_id, action_pos, action_name, category, step; ``articles``:
     article_id, text; ``headings``: article_id, heading. Stems meet by joins, not by packing
-    the whole article into one row.
+    the whole article into one row. These joins are merges, because stems outgrow the file their texts are made from.
     """
     words = articles.withColumn("st", accuracy_stems("text")).withColumn("stem", F.explode_outer("st")).select("article_id", "stem").where("stem IS NOT NULL")
     s = steps.select("plan_id", "article_id", "step").distinct()
     counts = steps.groupBy("plan_id", "article_id", "step").agg(F.count("*").alias("times"))
     step_stems = s.withColumn("st", accuracy_stems("step")).select("plan_id", "article_id", "step", F.size("st").alias("n"), F.explode_outer("st").alias("stem")).where("stem IS NOT NULL")
-    met = step_stems.join(words.withColumn("m", F.lit(1)), ["article_id", "stem"], "left").groupBy("plan_id", "article_id", "step", "n").agg(F.count("m").alias("met"))
-    grounding = met.join(counts, ["plan_id", "article_id", "step"]).groupBy("plan_id").agg(
+    met = step_stems.join(words.withColumn("m", F.lit(1)).hint("merge"), ["article_id", "stem"], "left").groupBy("plan_id", "article_id", "step", "n").agg(F.count("m").alias("met"))
+    grounding = met.join(counts.hint("merge"), ["plan_id", "article_id", "step"]).groupBy("plan_id").agg(
         (F.sum(F.when(F.col("met") / F.col("n") >= 0.5, F.col("times")).otherwise(0)) / F.sum("times")).alias("grounding"))
     own = steps.select("plan_id", F.explode_outer(F.concat(accuracy_stems("step"), accuracy_stems("action_name"))).alias("stem")).where("stem IS NOT NULL").distinct()
     heads = headings.withColumn("st", accuracy_stems("heading")).select("article_id", "heading_pos", F.size("st").alias("n"), F.explode_outer("st").alias("stem")).where("stem IS NOT NULL")
-    of_plan = steps.select("plan_id", "article_id").distinct().join(heads, "article_id")
-    covered = of_plan.join(own.withColumn("m", F.lit(1)), ["plan_id", "stem"], "left").groupBy("plan_id", "heading_pos", "n").agg(F.count("m").alias("met"))
+    of_plan = steps.select("plan_id", "article_id").distinct().join(heads.hint("merge"), "article_id")
+    covered = of_plan.join(own.withColumn("m", F.lit(1)).hint("merge"), ["plan_id", "stem"], "left").groupBy("plan_id", "heading_pos", "n").agg(F.count("m").alias("met"))
     completeness = covered.groupBy("plan_id").agg(F.avg((F.col("met") / F.col("n") >= 0.5).cast("double")).alias("completeness"))
     critical = F.col("category") == "critical"
     order = steps.groupBy("plan_id").agg(F.min(F.when(critical, F.col("action_pos"))).alias("c"), F.max(F.when(~critical, F.col("action_pos"))).alias("o"))
     order = order.select("plan_id", F.when(F.col("o") > F.col("c"), 0.0).otherwise(1.0).alias("ordering"))
-    return order.join(grounding, "plan_id", "left").join(completeness, "plan_id", "left").select(
+    return order.join(grounding.hint("merge"), "plan_id", "left").join(completeness.hint("merge"), "plan_id", "left").select(
         "plan_id", F.coalesce("grounding", F.lit(0.0)).alias("grounding"), F.coalesce("completeness", F.lit(1.0)).alias("completeness"), "ordering")
 
 
