@@ -263,7 +263,8 @@ def split_clauses(c) -> Column:
 def grounding_sentences(c) -> Column:
     """Sentences of an article as used for grounding (longer than three characters)."""
     parts = F.split(squash(c), r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 3)
+    # a function of two arguments would get the place as the characters to trim
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 3)
 
 
 def step_sentences(c) -> Column:

@@ -54,6 +54,10 @@ def test_articles_are_unwrapped_at_any_depth(spark):
     assert [(r["title"], r["content"]) for r in got] == [("T", "C"), ("", "plain"), ("", "text"), (None, None), ("x", "")]
 
 
+def test_sentences_keep_digits_that_equal_their_place(one):
+    assert one(tx.grounding_sentences, "00 first 00. 11 tries help 1. 2 + 2 = 22") == ["00 first 00.", "11 tries help 1.", "2 + 2 = 22"]
+
+
 def test_runs_inside_words_of_other_letters_are_no_tokens(one):
     assert sorted(one(tx.grounding_tokens, "a café wi-fi -x9- naïve tap2")) == ["tap2", "wi-fi", "x9"]
 
