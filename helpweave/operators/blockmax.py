@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helpweave.session import materialize
+from helpweave.session import fan_out, materialize
 
 #: Documents of a block, on average.
 BLOCK_DOCS = 512
@@ -31,39 +32,35 @@ BATCH, PRODUCTS = 2048, 1 << 21
 SLACK = 1e-6
 
 
-def block_rows(postings: DataFrame) -> DataFrame:
-    """``term_id, block, lexical, top, low, docs, ws`` from ``postings (block, term_id, lexical, doc, w)``.
+def block_rows(postings: DataFrame, norms: DataFrame) -> DataFrame:
+    """``term_id, block, lexical, top, low, docs, ws`` from ``postings (block, term_id, lexical, doc, w)``; weights that are not lexical are divided by the document's norm
+    in ``norms (part, of, norm)``, which is dealt alike.
 
     Rows are dealt by block, that is by document, so a term that most documents hold is spread like any other.
     """
     doc = postings.schema["doc"].dataType.simpleString()
-    width = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = postings.select("block", "term_id", "lexical", "doc", "w").repartition(width, "block").sortWithinPartitions("block", "term_id", "doc")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks().to_batches()
-            if not t:
-                continue
-            t = t[0]
-            block, term = (t.column(k).to_numpy() for k in (0, 1))
-            first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])])
-            rest = t.slice(first[-1])  # its run may go on
-            if len(first) > 1:
-                yield rows(t.slice(0, first[-1]), first[:-1])
-        if rest is not None:
-            yield rows(rest, np.zeros(1, np.int64))
-
-    def rows(t: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
-        at = pa.array(np.r_[first, t.num_rows].astype(np.int32))
-        w = t.column(4).to_numpy()
-        whole = pa.RecordBatch.from_arrays([t.column(k).take(pa.array(first)) for k in (1, 0, 2)], names=["term_id", "block", "lexical"])
-        docs, ws = (pa.ListArray.from_arrays(at, pa.concat_arrays([t.column(k)])) for k in (3, 4))
-        tops = pa.array(np.maximum.reduceat(w, first)), pa.array(np.minimum.reduceat(w, first))
-        return pa.RecordBatch.from_arrays([*whole.columns, *tops, docs, ws], names=["term_id", "block", "lexical", "top", "low", "docs", "ws"])
-
-    return ordered.mapInArrow(cut, f"term_id long, block long, lexical boolean, top double, low double, docs array<{doc}>, ws array<double>")
+    names = ["term_id", "block", "lexical", "top", "low", "docs", "ws"]
+
+    def flat(column: pa.ChunkedArray) -> pa.Array:
+        whole = column.combine_chunks()
+        return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+
+    def cut(t: pa.Table, norm: pa.Table) -> pa.Table:
+        t = t.sort_by([("term_id", "ascending"), ("doc", "ascending")])
+        lexical, w, docs, term = t["lexical"].to_numpy(), t["w"].to_numpy(), flat(t["doc"]), t["term_id"].to_numpy()
+        if norm.num_rows:
+            place = pa.compute.index_in(docs, flat(norm["of"])).fill_null(0).to_numpy()
+            w = np.where(lexical, w, w / norm["norm"].to_numpy()[place])
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(term)), bool), term[1:] != term[:-1]])
+        at = pa.array(np.r_[first, len(term)].astype(np.int32))
+        whole = [flat(t[k]).take(pa.array(first)) for k in names[:3]]
+        tops = [pa.array(f.reduceat(w, first) if len(first) else w) for f in (np.maximum, np.minimum)]
+        lists = [pa.ListArray.from_arrays(at, v) for v in (docs, pa.array(w))]
+        return pa.Table.from_arrays([*whole, *tops, *lists], names=names)
+
+    fields = f"term_id long, block long, lexical boolean, top double, low double, docs array<{doc}>, ws array<double>"
+    rows = fan_out(postings.select("block", "term_id", "lexical", "doc", "w"), "block").groupBy("block")
+    return rows.cogroup(fan_out(norms, "part").groupBy("part")).applyInArrow(cut, fields)
 
 
 def block_bounds(terms: DataFrame, blocks: DataFrame) -> DataFrame:

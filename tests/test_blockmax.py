@@ -112,3 +112,20 @@ def test_an_empty_corpus_and_equal_scores(spark):
     assert got == [(0, 1, 3), (0, 2, 5)]
     none = rt.build_index(docs.limit(0))
     assert rt.bm25_top(queries, none, 3).collect() == []
+
+
+def test_index_without_rows_of_tokens_in_a_shuffle(spark, monkeypatch):
+    docs, queries = corpus(spark, 300)
+    whole = rt.build_index(docs)
+    plan = rt.corpus_stats(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    tokens_made = plan.index("Generate explode")
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > tokens_made  # the plan begins with its last step
+    monkeypatch.setattr(rt, "COMMON_TERMS", 40)
+    shared = rt.with_terms(rt.corpus_stats(docs, "doc_id", "text"), whole.terms, whole.n_terms)
+    assert shared.count() == shared.select("doc", "term").distinct().count() == whole.terms.agg(F.sum("df")).first()[0]
+    for top, name, family in ((rt.bm25_top, "bm25", "b:"), (rt.tfidf_top, "cosine", "t:")):
+        part = rt.build_index(docs, families=(family,), asked=queries)
+        assert part.blocks.count() < whole.blocks.count() / 2 and part.n_terms == part.terms.count()
+        assert part.terms.where(~F.col("term").startswith(family)).count() == 0
+        got = {(r["qid"], r["rank"], r["doc"], round(r[name], 7)) for r in top(queries, part, 5).collect()}
+        assert got == {(r["qid"], r["rank"], r["doc"], round(r[name], 7)) for r in top(queries, whole, 5).collect()} and got
