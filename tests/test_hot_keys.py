@@ -67,3 +67,18 @@ def test_texts_made_from_a_small_file_are_not_broadcast(spark, tmp_path):
     heads = articles.select("article_id", F.lit(0).alias("heading_pos"), F.lit("Display Battery").alias("heading"))
     assert made_wide(ev.step_accuracy(steps, articles, heads)) == 0
     assert coverage.where("coverage = 1").count() == 2000
+
+
+def test_rows_of_a_task_do_not_grow_with_the_input(spark):
+    from helpweave.operators import quality as ql
+    from helpweave.session import deal
+
+    n = spark.sparkContext.defaultParallelism
+    ids = spark.range(1000).select(F.col("id").alias("plan_id"))
+    assert deal(ids, 1000, task_rows=10).rdd.getNumPartitions() == 100 and deal(ids, 10).rdd.getNumPartitions() == n
+    empty = F.lit(None).cast("string")
+    steps = ids.select("plan_id", *[F.lit("x").alias(c) for c in ("goal", "title", "action_name", "description", "category", "step")], F.lit(0.5).alias("score"),
+                       *[F.lit(0).alias(c) for c in ("action_pos", "group_pos", "step_pos")], empty.alias("link"), empty.alias("check_link"))
+    found = ql.validate_plans(deal(steps, 1000, "plan_id", task_rows=10))
+    # the windows keep the given partitions
+    assert found.rdd.getNumPartitions() == 100 and found.where("rule = 'goal_syntax'").count() == 1000
