@@ -16,8 +16,8 @@ from helpweave.session import materialize
 
 #: Signature coordinates, and how many must agree. At similarity 0.8 fewer agree with a chance below 1e-8.
 COORDINATES, MATCHES = 64, 30
-#: Nodes in a tile of a large group, and columns of a set matrix made at a time.
-TILE, COLUMNS = 512, 4096
+#: Nodes in a tile of a large group, columns of a set matrix made at a time, and nodes in a tile of a long posting list.
+TILE, COLUMNS, LISTED = 512, 4096, 2048
 _seed = np.random.default_rng(64)
 FLIP = _seed.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + _seed.integers(0, 2, COORDINATES, dtype=np.uint64)
 TIMES = _seed.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,6 +179,61 @@ def linked_parts(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     return rows.groupBy("cut", "home", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
+def agreeing_rows(a: np.ndarray, b: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (row of ``a``, row of ``b``) of signatures that agree ``matches`` times at least."""
+    step = max(1, (1 << 22) // max(1, b.size))
+    found = [np.nonzero(np.count_nonzero(a[i : i + step, None] == b[None], axis=2) >= matches) for i in range(0, len(a), step)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[i + step * k for k, (i, _) in enumerate(found)]]), np.concatenate([none, *[j for _, j in found]])
+
+
+def joined_parts(lists: DataFrame, classes: DataFrame, percent: int, matches: int, tile: int = LISTED) -> DataFrame:
+    """``a, b``: links that join what all pairs of ``lists (key, node, n, part)`` join that share a key, lie in different parts,
+    can reach ``percent`` by their sizes ``n`` and whose signatures agree ``matches`` times.
+
+    A key of more than ``tile`` nodes is cut into tiles and each pair of tiles is one task; short keys share tasks.
+    Signatures are compared as arrays and a task gives a spanning forest, so no rows of pairs exist at any length of a key.
+    """
+    sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    buckets = max(1, lists.count() // (tile // 4))
+    placed = lists.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).join(classes.select("node", "signature"), "node")
+    copies = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    home = F.when(F.col("tiles") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    rows = copies.select((F.col("tiles") > 1).alias("cut"), home.alias("home"), F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "t", "key", "node", "n", "part", "signature")
+
+    def compare(g):
+        import pandas as pd
+
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        g = g.sort_values(["key", "node"], ignore_index=True)
+        key, node, n, part, t = (g[c].to_numpy() for c in ("key", "node", "n", "part", "t"))
+        signature = np.vstack(g["signature"].to_numpy())
+        lo, hi = int(g["lo"].iat[0]), int(g["hi"].iat[0])
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            parts, of, held = np.unique(part[i:j], return_inverse=True, return_counts=True)
+            if len(parts) < 2:
+                continue
+            # nodes of the largest part are not compared with each other
+            odd = of != held.argmax()
+            x, y = t[i:j] == lo, t[i:j] == hi
+            u, v = [], []
+            for p, q in ((x & odd, y), (x & ~odd, y & odd)):
+                p, q = np.flatnonzero(p), np.flatnonzero(q)
+                k, m = agreeing_rows(signature[i:j][p], signature[i:j][q], matches)
+                u.append(p[k])
+                v.append(q[m])
+            u, v = np.concatenate(u), np.concatenate(v)
+            size = n[i:j]
+            ok = (of[u] != of[v]) & (size[u] * 100 >= size[v] * percent) & (size[v] * 100 >= size[u] * percent)
+            k, root = forest(u[ok], v[ok], j - i)
+            out_a.append(node[i:j][k])
+            out_b.append(node[i:j][root])
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return rows.groupBy("cut", "home", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``documents (doc_id, text)``.
 
@@ -188,9 +243,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mat
     component; of rows that share a doc_id all are returned. Other columns are ignored; no rows give no rows.
 
     Equal sets are joined once, as one node. Nodes meet in the posting lists of their rare signature values. Each node is compared
-    with one node of each list, and those that agree ``matches`` times fall into one group; then pairs of a list that are still in
-    different groups are compared and may join groups. So two nodes that agree often enough are in one group, without
-    all pairs of a large group being made. Links are found on full sets, group by group.
+    with one node of each list, and those that agree ``matches`` times fall into one group; then nodes of a list that are still in
+    different groups are compared, tile by tile, and may join groups. So two nodes that agree often enough are in one group, without
+    rows of pairs being made. Links are found on full sets, group by group.
     """
     sets = materialize(signatures(documents, width))
     classes = materialize(sets.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
@@ -202,11 +257,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, mat
     now = posted.join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component_id", "node")).drop("component_id")
     mixed = now.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 != p1").select("key")
     left = materialize(now.join(mixed, "key", "left_semi"))
-    x, y = (left.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "part")]) for s in ("1", "2"))
-    fits = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    across = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("part1") != F.col("part2")) & fits)
-    across = agreeing(across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), classes, matches)
-    part = components(starred.select("a", "b").unionByName(across.select("a", "b")))
+    across = joined_parts(left, classes, percent, matches)
+    part = components(starred.select("a", "b").unionByName(across))
     roots = part.select(F.col("component_id").alias("node")).distinct()
     groups = materialize(part.select(F.col("id").alias("node"), F.col("component_id").alias("part")).unionByName(roots.select("node", F.col("node").alias("part"))))
     links = linked_parts(materialize(group_sets(groups, classes, documents, width)), percent, tile)
