@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from helpweave import lexicons as lx
 from helpweave.checks import sqltext as q
 from helpweave.checks.registry import query, with_tables
 from helpweave.operators import layout, quality as ql
-from helpweave.session import deal, table
 from helpweave.sources.fixtures import derived
 
 STEPS_SQL = """steps AS MATERIALIZED (SELECT plan_id, goal, title, min(score) OVER (PARTITION BY plan_id) AS score, action_pos - 1 AS action_pos, action_name, description, category,
@@ -18,10 +18,9 @@ FROM plans CROSS JOIN (SELECT unnest([0, 1]) AS s) k)"""
 
 
 def plan_steps(spark, sf):
-    # two steps of each line; the join, and whatever divides the rows of a plan later, need no other shuffle
-    p = deal(derived(spark, sf, "plans"), 2 * table(spark, sf, "lineitem").count(), "plan_id")
-    low = p.groupBy("plan_id").agg(F.min("score").alias("score"))
-    p = p.drop("score").join(low, "plan_id").withColumn("step_pos", F.explode(F.array(F.lit(0), F.lit(1))))
+    # two steps of each line; rows come sorted by plan, so the least score needs no second reading
+    low = F.min("score").over(Window.partitionBy("plan_id"))
+    p = derived(spark, sf, "plans").withColumn("score", low).withColumn("step_pos", F.explode(F.array(F.lit(0), F.lit(1))))
     k = (F.col("action_pos") + F.col("step_pos")) % 4
     step = F.when(k == 0, "Open Settings.").when(k == 1, "See www.example.com first.").when(k == 2, "Your phone restarts.").otherwise("Tap Display")
     return p.select(
