@@ -124,8 +124,8 @@ def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
         text = text.replace(f"FROM {need}", f"FROM {{{need}}}").replace(f"JOIN {need} ", f"JOIN {{{need}}} {need} ")
     tables = {need: table(spark, folder, need) for need in needs}
     if "part" in tables:
-        # long texts are made from few bytes of a part, so its rows are dealt before
-        tables["part"] = deal(tables["part"], tables["part"].count(), task_rows=50_000)
+        # long texts are made from few bytes of a part, so its rows are dealt before, by key: what divides the rows of a part needs no other shuffle
+        tables["part"] = deal(tables["part"], tables["part"].count(), "p_partkey", task_rows=50_000)
     if name == "plans":
         # dealt by plan while the rows are narrow: grouping, the join and whatever divides the rows of a plan later need no other shuffle
         rows = 2 * tables["lineitem"].count()

@@ -13,3 +13,9 @@ def test_plan_layout_shuffles_narrow_rows_once(spark):
 
     plan = plan_of(assemble_plans(plan_steps(spark, SMALL)))
     assert plan.count("Exchange ") == 2 and "Broadcast" not in plan
+
+
+def test_sentences_of_articles_are_counted_where_they_are_made(spark):
+    from helpweave.checks.q_text import b13
+
+    assert plan_of(b13(spark, SMALL)).count("Exchange ") == 1
