@@ -19,3 +19,15 @@ def test_sentences_of_articles_are_counted_where_they_are_made(spark):
     from helpweave.checks.q_text import b13
 
     assert plan_of(b13(spark, SMALL)).count("Exchange ") == 1
+
+
+def test_equal_contents_are_extracted_once(spark, monkeypatch):
+    from helpweave.operators import extract as ex
+
+    text = "# Screen\nOpen Settings. Tap Display.\n## Battery\nRestart the phone. Charge it for one hour."
+    df = spark.createDataFrame([(i, text if i % 2 else text.upper()) for i in range(20)] + [(20, None), (20, text)], "article_id long, content string")
+    made, actions = [], ex._actions
+    monkeypatch.setattr(ex, "_actions", lambda rows, *names: made.append(rows.count()) or actions(rows, *names))
+    got = sorted(map(tuple, ex.extract_actions(df).collect()))
+    assert made == [2]
+    assert got == sorted(map(tuple, actions(df, "article_id", "content").collect()))
