@@ -31,3 +31,13 @@ def test_equal_contents_are_extracted_once(spark, monkeypatch):
     got = sorted(map(tuple, ex.extract_actions(df).collect()))
     assert made == [2]
     assert got == sorted(map(tuple, actions(df, "article_id", "content").collect()))
+
+
+def test_vectors_are_compared_in_large_tiles(spark, monkeypatch):
+    from helpweave.checks.q_match import u1
+    from helpweave.operators import similarity as sim
+
+    tiles, tiled = [], sim._tiled
+    monkeypatch.setattr(sim, "_tiled", lambda p, s, rows: tiles.append(rows) or tiled(p, s, rows))
+    u1(spark, SMALL)
+    assert min(tiles) >= sim.TILE_ROWS
