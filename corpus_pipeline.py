@@ -60,7 +60,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``decoded_matches`` says that decoding the ids gives the text back.
     """
     path = tokenizer_path(spark)
-    done = encode(docs.select("doc_id", "lang", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("sum")), path)
+    # written between, so that no task needs two Python workers at once: they stay, with their memory, through the stages of later runs
+    done = materialize(encode(docs.select("doc_id", "lang", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("sum")), path))
     back = decode(done, path, into="decoded", keep=True)
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.md5("decoded") == F.col("sum")).alias("decoded_matches"))
 
