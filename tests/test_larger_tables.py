@@ -41,3 +41,25 @@ def test_vectors_are_compared_in_large_tiles(spark, monkeypatch):
     monkeypatch.setattr(sim, "_tiled", lambda p, s, rows: tiles.append(rows) or tiled(p, s, rows))
     u1(spark, SMALL)
     assert min(tiles) >= sim.TILE_ROWS
+
+
+def test_answers_are_planned_in_parts(spark):
+    """The driver's memory follows the size of the plans, so no plan holds the steps before it, nor is one side of a join prepared twice."""
+    from pyspark.sql import functions as F
+
+    from helpweave.operators import resolve as rs
+    from helpweave.plans.answer import cold_plans
+    from helpweave.session import materialize
+    from helpweave.sources.fixtures import derived
+
+    seen = spark._jsparkSession.sharedState().statusStore()
+    before = seen.executionsCount()
+    articles = derived(spark, SMALL, "articles").where("article_id < 20")
+    requests = materialize(articles.select(F.col("article_id").alias("complaint_id"), F.col("original_query").alias("query"), "title", "content"))
+    index, entries = rs.catalog_index(materialize(derived(spark, SMALL, "catalog")))
+    steps, scored = cold_plans(requests, index, entries)
+    assert scored.count() == 20 and steps.count() > 20
+    assert "Exchange" not in plan_of(scored) and "Exchange" not in plan_of(steps)
+    made = seen.executionsList()
+    sizes = [len(made.apply(i).physicalPlanDescription()) for i in range(made.size()) if made.apply(i).executionId() >= before]
+    assert max(sizes) < 150_000
