@@ -44,7 +44,7 @@ def test_vectors_are_compared_in_large_tiles(spark, monkeypatch):
 
 
 def test_answers_are_planned_in_parts(spark):
-    """The driver's memory follows the size of the plans, so no plan holds the steps before it, nor is one side of a join prepared twice."""
+    """The driver's memory follows the size of the plans, so no plan holds the steps before it."""
     from pyspark.sql import functions as F
 
     from helpweave.operators import resolve as rs
