@@ -63,3 +63,23 @@ def test_answers_are_planned_in_parts(spark):
     made = seen.executionsList()
     sizes = [len(made.apply(i).physicalPlanDescription()) for i in range(made.size()) if made.apply(i).executionId() >= before]
     assert max(sizes) < 150_000
+
+
+def test_driver_lets_go_of_finished_stages(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from helpweave.operators import resolve as rs
+    from helpweave.plans import answer
+    from helpweave.session import materialize, tidy
+    from helpweave.sources.fixtures import derived
+
+    garbage = spark._jvm.java.lang.ref.WeakReference(spark._jvm.java.lang.Object())
+    assert answer._done(spark.range(3)).count() == 3
+    assert garbage.get() is None
+    seen = []
+    monkeypatch.setattr(answer, "tidy", lambda s: seen.append(1) or tidy(s))
+    articles = derived(spark, SMALL, "articles").where("article_id < 2")
+    requests = materialize(articles.select(F.col("article_id").alias("complaint_id"), F.col("original_query").alias("query"), "title", "content"))
+    index, entries = rs.catalog_index(materialize(derived(spark, SMALL, "catalog")))
+    steps, scored = answer.cold_plans(requests, index, entries)
+    assert scored.count() == 2 and steps.count() > 2 and len(seen) >= 4
