@@ -83,3 +83,34 @@ def test_driver_lets_go_of_finished_stages(spark, monkeypatch):
     index, entries = rs.catalog_index(materialize(derived(spark, SMALL, "catalog")))
     steps, scored = answer.cold_plans(requests, index, entries)
     assert scored.count() == 2 and steps.count() > 2 and len(seen) >= 4
+
+
+def test_plans_are_split_by_their_errors_in_one_pass(spark, monkeypatch):
+    from helpweave.operators import quality as ql
+
+    goal = "Follow these steps to perform this Screen Troubleshooting"
+    head = (goal, "Screen flicker", 0.5)
+    step = lambda plan, action, name, category, pos, text, link=None, check=None, head=head: (
+        plan, *head, action, name, "It will clear temporary glitches by restarting", category, 0, pos, text, link, check)
+    rows = [
+        step("good", 0, "Adjust Brightness", "auto", 0, "Open Settings."), step("good", 1, "Restart", "critical", 0, "Restart the phone."),
+        step("leak", 0, "Adjust Brightness", "auto", 0, "Open Settings.", "see www.example.com"), step("leak", 0, "Adjust Brightness", "auto", 1, "Tap Display"),
+        step("check", 0, "Adjust Brightness", "critical", 0, "Open Settings.", None, "http://x.example.com/1"),
+        step("manual", 0, "visit a center", "manual", 0, "Open Settings.", "http://x.example.com/1"),
+        step("kind", 0, "Restart", "other", 0, "Open Settings."), step("bare", 0, "Restart", "auto", 0, None), step("none", 0, "Restart", None, 0, "Open Settings."),
+        step("odd", 0, "Restart", "auto", 0, "It <a href=x> blinks.", head=(None, None, None)), step("void", None, None, None, None, None),
+        step("url", 0, "Restart", "auto", 0, "www.example.com"), step(None, 0, "Restart", "other", 0, "Open Settings."),
+    ]
+    fields = "plan_id string, goal string, title string, score double, action_pos int, action_name string, description string, category string, group_pos int, step_pos int, step string, link string, check_link string"
+    steps = spark.createDataFrame(rows, fields)
+    repaired = ql.repair_plans(steps)
+    bad = {r["plan_id"] for r in ql.validate_plans(repaired).where("severity = 'error'").collect()} - {None}
+    assert {"leak", "check", "kind", "bare", "url"} <= bad and "good" not in bad and "manual" not in bad
+    written, write = [], ql.materialize
+    monkeypatch.setattr(ql, "materialize", lambda df: written.append(plan_of(df)) or write(df))
+    kept, rejected = ql.repair_then_split(steps)
+    assert len(written) == 1 and written[0].count("Exchange ") == 1 and "Join" not in plan_of(kept) + plan_of(rejected)
+    assert kept.columns == rejected.columns == repaired.columns
+    text = lambda df: sorted(map(repr, df.collect()))
+    assert text(kept.unionByName(rejected)) == text(repaired)
+    assert {r["plan_id"] for r in rejected.collect()} == bad and bad.isdisjoint(r["plan_id"] for r in kept.collect())
